@@ -6,28 +6,66 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import bpe
+from .lines import line_classes
 from .minhash import near_duplicates
+from .packing import pack, tokenized_pieces
 from .quality import quality_rules
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all documents' pieces in sequences of at most 1024 tokens."""
+    docs = _table(spark, sf_dir, "documents")
+    pieces = tokenized_pieces(docs, _tokenizer("byte_bpe_50k.json"), end_id=2, size=1024)
+    return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), 1024)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and their round trip."""
+    import public_tokenizers
+
+    path, pattern = _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = bpe.decoded(bpe.encoded(_table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return rows.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate group of every document."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every line of every document."""
+    return line_classes(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_best_fit_packing,
         op2_quality_rules,
+        op8_byte_bpe,
         op9_minhash_near_dedup,
+        op10_line_dedup,
     )
 }
 
