@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe
+from . import bpe, chat, sharding, urls
 from .lines import line_classes
 from .minhash import near_duplicates
 from .packing import pack, tokenized_pieces
@@ -34,6 +34,50 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+#: Fixed values of the URL query: its rules, and a site whose pages are listed one by one.
+URL_RULES = (
+    ("com/", "allow"),
+    ("example.com/en/", "block"),
+    ("www.example.com/en/", "allow"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+)
+LISTED_SITE = "spam-farm.example.org"
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url; pages of one site stand for a list of single canonical urls."""
+    pages = _table(spark, sf_dir, "pages")
+    at = urls.host(F.col("url"))
+    listed = pages.where((at == LISTED_SITE) | at.endswith("." + LISTED_SITE)).select(
+        F.concat(at, urls.path(F.col("url"))).alias("url")
+    )
+    judged = urls.judge(pages.select("page_id", "url"), urls.rules(spark, URL_RULES), page_list=listed)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all formatted conversations, and of one whose texts are control strings."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = [(-1, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))]
+    turns = turns.unionByName(spark.createDataFrame(own, "conv_id long, turn long, role string, text string"))
+    path = _tokenizer("byte_bpe_50k.json")
+    return chat.read_back(chat.segments(turns, path), path)
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, and its shard if there were one more."""
+    text = F.coalesce("text", F.lit(""))
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("key").alias("law"),
+    )
+    tree = sharding.balanced(16)
+    return sharding.shard(docs, tree, more=sharding.grown(tree))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and their round trip."""
     import public_tokenizers
@@ -63,10 +107,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_best_fit_packing,
         op2_quality_rules,
+        op3_url_filters,
+        op4_chat_formatting,
+        op5_sharding,
         op8_byte_bpe,
         op9_minhash_near_dedup,
         op10_line_dedup,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_URL_RULES_SQL = ", ".join(f"('{e}', '{v}')" for e, v in URL_RULES)
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filters": rf"""
+        WITH parts AS (
+            SELECT page_id, url,
+                   translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
+            FROM pages),
+        rules AS (
+            SELECT entry, verdict, split_part(entry, '/', 1) AS at, substring(entry, strpos(entry, '/')) AS start
+            FROM (VALUES {_URL_RULES_SQL}) AS r(entry, verdict)),
+        fits AS (
+            SELECT p.host, p.path, max_by(r.entry, length(r.entry)) AS rule, max_by(r.verdict, length(r.entry)) AS kind
+            FROM (SELECT DISTINCT host, path FROM parts) AS p
+            JOIN rules AS r ON (p.host = r.at OR ends_with(p.host, '.' || r.at)) AND starts_with(p.path, r.start)
+            GROUP BY ALL)
+        SELECT page_id, host, path, rule,
+               coalesce(kind, CASE WHEN host = '{LISTED_SITE}' OR ends_with(host, '.{LISTED_SITE}')
+                                   THEN 'block' ELSE 'allow' END) AS verdict
+        FROM parts LEFT JOIN fits USING (host, path)""",
+}
