@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, sharding, urls
+from . import ann, bpe, chat, sharding, storage, urls, warc
 from .lines import line_classes
 from .minhash import near_duplicates
 from .packing import pack, tokenized_pieces
@@ -78,6 +78,26 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, tree, more=sharding.grown(tree))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages say, read back from them."""
+    path = storage.new_path(spark, "warc")
+    warc.write_warc(_table(spark, sf_dir, "pages"), path)
+    record = warc.read_warc(spark, path)
+    return record.select(
+        F.expr("try_cast(nullif(regexp_extract(record_id, '^<urn:page:(-?[0-9]+)>$', 1), '') as bigint)").alias("page_id"),
+        F.col("size").alias("payload_bytes"),
+        F.when(F.col("record_type") == "response", F.sha1("payload")).otherwise(F.substring_index("digest", ":", -1)).alias("payload_digest"),
+        "record_type",
+        F.expr("try_cast(nullif(regexp_extract(refers_to, '^<urn:page:(-?[0-9]+)>$', 1), '') as bigint)").alias("refers_to"),
+    )
+
+
+def op7_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every hundredth one."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0").select("vec_id"), k=10)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and their round trip."""
     import public_tokenizers
@@ -110,6 +130,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_url_filters,
         op4_chat_formatting,
         op5_sharding,
+        op6_warc,
+        op7_approximate_nearest_neighbours,
         op8_byte_bpe,
         op9_minhash_near_dedup,
         op10_line_dedup,
@@ -119,6 +141,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _URL_RULES_SQL = ", ".join(f"('{e}', '{v}')" for e, v in URL_RULES)
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest FROM p),
+        m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest, n) ELSE page_id END AS response FROM d)
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+               CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> response THEN response END AS refers_to
+        FROM m""",
     "op3_url_filters": rf"""
         WITH parts AS (
             SELECT page_id, url,
