@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .storage import durable
 
 #: Tables, probed pairs of axes in each, axes ranked for a probe, and axes of the second hash.
-TABLES, PROBES, RANKED, SECOND = 16, 64, 24, 16
+TABLES, PROBES, RANKED, SECOND = 16, 128, 24, 16
 BLOCK = 8192
 
 
