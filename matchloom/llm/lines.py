@@ -34,7 +34,7 @@ TAU, MIN_CHARS = 2, 25
 SMALL = 256
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
-_SPACE = "[ \\t-\\r]+"
+_SPACE = " \t\n\x0b\f\r"
 
 
 def within(a: str, b: str, tau: int) -> bool:
@@ -115,8 +115,7 @@ def segment_keys(lines: list[str], tau: int, least: int) -> tuple[np.ndarray, np
 def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, line, lid, text): every line with a character besides white space, trimmed; lines count from 0."""
     each = docs.select(F.col(id_col).cast("long").alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("line", "raw"))
-    text = F.regexp_replace(F.regexp_replace("raw", "^" + _SPACE, ""), _SPACE + "$", "")
-    return each.select("doc", "line", text.alias("text")).where("text <> ''").withColumn("lid", F.xxhash64("text"))
+    return each.select("doc", "line", F.btrim("raw", F.lit(_SPACE)).alias("text")).where("text <> ''").withColumn("lid", F.xxhash64("text"))
 
 
 def _entries(lines: DataFrame, tau: int, least: int) -> DataFrame:
@@ -284,7 +283,7 @@ def without_repeats(
     """
     gone = _places(docs, id_col, text_col, tau, min_chars).where("not kept")
     gone = gone.groupBy("doc").agg(F.collect_set(F.struct("line", "lid")).alias("_gone"))
-    trimmed = lambda x: F.regexp_replace(F.regexp_replace(x, "^" + _SPACE, ""), _SPACE + "$", "")
+    trimmed = lambda x: F.btrim(x, F.lit(_SPACE))
     left = F.filter(
         F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_gone", F.struct(i.alias("line"), F.xxhash64(trimmed(x)).alias("lid")))
     )
