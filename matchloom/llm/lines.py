@@ -30,8 +30,8 @@ from .components import components
 from .storage import durable, release
 
 TAU, MIN_CHARS = 2, 25
-#: Index times probe members up to which a bucket's pairs are all written at once.
-SMALL = 256
+#: Index times probe members up to which all pairs of a bucket are compared at once.
+SMALL = 1 << 22
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _SPACE = " \t\n\x0b\f\r"
@@ -118,6 +118,22 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.select("doc", "line", F.btrim("raw", F.lit(_SPACE)).alias("text")).where("text <> ''").withColumn("lid", F.xxhash64("text"))
 
 
+def bags(lines: list[str]) -> np.ndarray:
+    """A row of 16 counts (modulo 16) per line, of characters by a hash: an edit moves at most two of them by one."""
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lane = ((_mix(points + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(60)).astype(np.int64)
+    row = np.repeat(np.arange(len(lines)), np.fromiter(map(len, lines), np.int64, len(lines)))
+    return (np.bincount(row * 16 + lane, minlength=16 * len(lines)).reshape(-1, 16) & 15).astype(np.uint64)
+
+
+def _packed(counts: np.ndarray) -> np.ndarray:
+    return (counts << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _lanes(bag: np.ndarray) -> np.ndarray:
+    return ((bag.view(np.uint64)[:, None] >> (np.arange(16, dtype=np.uint64) * np.uint64(4))) & np.uint64(15)).astype(np.int8)
+
+
 def _entries(lines: DataFrame, tau: int, least: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -126,73 +142,100 @@ def _entries(lines: DataFrame, tau: int, least: int) -> DataFrame:
             ends = np.cumsum(pdf["text"].str.len().to_numpy()) // 400_000
             for part in np.unique(ends):
                 at = np.flatnonzero(ends == part)
-                row, key, index = segment_keys(pdf["text"].iloc[at].tolist(), tau, least)
-                yield pd.DataFrame({"key": key, "lid": lid[at][row], "is_index": index})
+                some = pdf["text"].iloc[at].tolist()
+                row, key, index = segment_keys(some, tau, least)
+                yield pd.DataFrame({"key": key, "lid": lid[at][row], "is_index": index, "bag": _packed(bags(some))[row]})
 
     long = lines.where(F.length("text") >= least).select("lid", "text")
-    return long.mapInPandas(run, "key long, lid long, is_index boolean")
+    return long.mapInPandas(run, "key long, lid long, is_index boolean, bag long")
+
+
+def _pairs_in(lid: np.ndarray, index: np.ndarray, bag: np.ndarray, tau: int) -> list[tuple[int, int]]:
+    """Index and probe members whose character bags allow ``tau`` edits, block by block."""
+    left, at = np.unique(lid[index], return_index=True)
+    a = _lanes(bag[index][at])
+    right, at = np.unique(lid[~index], return_index=True)
+    b = _lanes(bag[~index][at])
+    out = []
+    for i in range(0, len(left), 64):
+        for j in range(0, len(right), 2048):
+            apart = np.abs(a[i : i + 64, None] - b[None, j : j + 2048])
+            near = np.minimum(apart, 16 - apart).sum(axis=2) <= 2 * tau
+            near &= left[i : i + 64, None] != right[None, j : j + 2048]
+            x, y = np.nonzero(near)
+            out += zip(left[i + x].tolist(), right[j + y].tolist(), strict=True)
+    return out
 
 
-def _paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidate pairs of each run of equal keys in sorted rows; (key, null) for a large bucket.
+class _Buckets:
+    """Runs of equal keys in sorted rows: candidate pairs (a, b), and all members of large runs (key, lid, is_index).
 
-    Only the current batch and the two hubs of a bucket that crosses batches are held.
+    Holds the current batch and, of a run that crosses batches, either its rows (up to ``SMALL`` pairs) or, once
+    it is large, only its two hubs, which its further members meet.
     """
 
-    def bucket(lid: np.ndarray, index: np.ndarray, key: int, hubs: tuple[int, int] | None) -> tuple[list, tuple[int, int] | None]:
-        left, right = np.unique(lid[index]), np.unique(lid[~index])
-        if hubs is None and len(left) * len(right) <= SMALL:
-            return [(x, y) for x in left for y in right if x != y], None
-        if hubs is None:
-            hubs = (int(left[0]) if len(left) else None, int(right[0]) if len(right) else None)
-        hub_left = hubs[0] if hubs[0] is not None else (int(left[0]) if len(left) else None)
-        hub_right = hubs[1] if hubs[1] is not None else (int(right[0]) if len(right) else None)
-        out = [(key, None)]
-        out += [(hub_left, y) for y in right if hub_left is not None and hub_left != y]
-        out += [(x, hub_right) for x in left if hub_right is not None and hub_right != x]
-        return out, (hub_left, hub_right)
-
-    carried: tuple[int, tuple[int, int]] | None = None
-    rest: pd.DataFrame | None = None
-    for pdf in batches:
-        if rest is not None and len(rest):
-            pdf = pd.concat((rest, pdf), ignore_index=True)
-        rest = None
-        out: list = []
-        key, lid, index = pdf["key"].to_numpy(), pdf["lid"].to_numpy(), pdf["is_index"].to_numpy(bool)
-        if not len(key):
-            continue
-        cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        ends = np.r_[cuts[1:], len(key)]
-        lo, hi = np.minimum.reduceat(lid, cuts), np.maximum.reduceat(lid, cuts)
-        if carried is not None and key[0] != carried[0]:
-            carried = None
-        last = len(cuts) - 1
-        for b in np.flatnonzero(lo != hi).tolist() + ([0] if carried is not None and lo[0] == hi[0] else []):
-            if b == last and not (b == 0 and (ends[b] - cuts[b] > 20_000 or carried is not None)):
-                continue
-            hubs = carried[1] if b == 0 and carried is not None else None
-            if b == last and hubs is None:
-                hubs = _hubs(lid, index)
-            found, hubs = bucket(lid[cuts[b] : ends[b]], index[cuts[b] : ends[b]], int(key[cuts[b]]), hubs)
-            out += found
-            if b == last:
-                carried = (int(key[cuts[b]]), hubs)
-        if not (carried is not None and carried[0] == key[-1]):
-            rest, carried = pdf.iloc[cuts[last] :], None
-        yield _frame(out)
-    if rest is not None and len(rest):
-        found, _ = bucket(rest["lid"].to_numpy(), rest["is_index"].to_numpy(bool), int(rest["key"].iloc[0]), None)
-        yield _frame(found)
-
-
-def _hubs(lid: np.ndarray, index: np.ndarray) -> tuple[int | None, int | None]:
-    return (int(lid[index].min()) if index.any() else None, int(lid[~index].min()) if (~index).any() else None)
-
-
-def _frame(rows: list) -> pd.DataFrame:
-    a, b = [int(r[0]) for r in rows], pd.array([None if r[1] is None else int(r[1]) for r in rows], "Int64")
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": b})
+    def __init__(self, tau: int):
+        self.tau = tau
+        self.key: int | None = None
+        self.hubs: list[int | None] | None = None
+
+    def large(self, key: int, lid: np.ndarray, index: np.ndarray) -> tuple[list, list]:
+        if self.hubs is None:
+            self.hubs = [None, None]
+        for side, mine in enumerate((lid[index], lid[~index])):
+            if self.hubs[side] is None and len(mine):
+                self.hubs[side] = int(mine.min())
+        pairs = [(self.hubs[0], int(y)) for y in np.unique(lid[~index]) if self.hubs[0] not in (None, int(y))]
+        pairs += [(int(x), self.hubs[1]) for x in np.unique(lid[index]) if self.hubs[1] not in (None, int(x))]
+        return pairs, list(zip([key] * len(lid), lid.tolist(), index.tolist(), strict=True))
+
+    def run(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["key", "lid", "is_index", "bag"]
+        rest = [np.empty(0, t) for t in (np.int64, np.int64, bool, np.int64)]
+        for pdf in batches:
+            rows = [np.concatenate((r, pdf[n].to_numpy(r.dtype))) for r, n in zip(rest, names, strict=True)]
+            yield self.step(rows, False)
+            rest = self.left
+        yield self.step(rest, True)
+
+    def step(self, rows: list[np.ndarray], last: bool) -> pd.DataFrame:
+        key, lid, index, bag = rows
+        pairs, members = [], []
+        self.left = [r[:0] for r in rows]
+        if len(key):
+            cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            ends = np.r_[cuts[1:], len(key)]
+            lo, hi = np.minimum.reduceat(lid, cuts), np.maximum.reduceat(lid, cuts)
+            if self.key != key[0]:
+                self.key, self.hubs = None, None
+            todo = set(np.flatnonzero(lo != hi).tolist()) | {0} | {len(cuts) - 1}
+            for i in sorted(todo):
+                at = slice(cuts[i], ends[i])
+                n = int(index[at].sum())
+                open_ = i == len(cuts) - 1 and not last
+                if self.hubs is not None and i == 0 or n * (ends[i] - cuts[i] - n) > SMALL:
+                    p, m = self.large(int(key[at][0]), lid[at], index[at])
+                    pairs, members = pairs + p, members + m
+                elif open_ and n < 2048 and len(key[at]) < 4096:
+                    self.left = [r[at] for r in rows]
+                elif open_:  # one side only, so far, but long
+                    p, m = self.large(int(key[at][0]), lid[at], index[at])
+                    pairs, members = pairs + p, members + m
+                elif lo[i] != hi[i]:
+                    pairs += _pairs_in(lid[at], index[at], bag[at], self.tau)
+                if open_:
+                    self.key = int(key[at][0])
+                else:
+                    self.key, self.hubs = None, None
+        a = pd.array([p[0] for p in pairs] + [None] * len(members), "Int64")
+        b = pd.array([p[1] for p in pairs] + [None] * len(members), "Int64")
+        none = [None] * len(pairs)
+        return pd.DataFrame(
+            {
+                "a": a, "b": b, "key": pd.array(none + [m[0] for m in members], "Int64"),
+                "lid": pd.array(none + [m[1] for m in members], "Int64"), "is_index": pd.array(none + [m[2] for m in members], "boolean"),
+            }
+        )
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, tau: int) -> DataFrame:
@@ -220,18 +263,21 @@ def line_links(lines: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
     """Links (a, b) between distinct lines that span the same classes as all links within ``tau`` edits."""
     least = max(min_chars, tau + 1)
     entries = _entries(lines, tau, least)
-    found = durable(entries.repartition("key").sortWithinPartitions("key").mapInPandas(_paired, "a long, b long"), "pairs")
-    first = found.where("b is not null").select(*_ordered(F.col("a"), F.col("b"))).distinct()
+    found = durable(
+        entries.repartition("key").sortWithinPartitions("key").mapInPandas(
+            lambda batches: _Buckets(tau).run(batches), "a long, b long, key long, lid long, is_index boolean"
+        ),
+        "pairs",
+    )
+    first = found.where("key is null").select(*_ordered(F.col("a"), F.col("b"))).distinct()
     first = _verified(first, lines, tau)
-    hot = found.where("b is null").select(F.col("a").alias("key")).distinct()
-    if hot.isEmpty():
+    members = found.where("key is not null").select("key", "lid", "is_index").distinct()
+    if members.isEmpty():
         return first
     label = components(first).withColumnRenamed("node", "lid")
     members = durable(
-        entries.join(hot, "key").distinct().join(label, "lid", "left")
-        .select("key", "lid", "is_index", F.coalesce("component", "lid").alias("comp")),
-        "members",
-    )
+        members.join(label, "lid", "left").select("key", "lid", "is_index", F.coalesce("component", "lid").alias("comp")), "members"
+    )
     left = members.where("is_index").select("key", F.col("lid").alias("x"), F.col("comp").alias("cx"))
     right = members.where("not is_index").select("key", F.col("lid").alias("y"), F.col("comp").alias("cy"))
     across = left.join(right, "key").where("cx <> cy").select(*_ordered(F.col("x"), F.col("y"))).distinct()
