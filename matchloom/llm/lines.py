@@ -32,6 +32,8 @@ from .storage import durable, release
 TAU, MIN_CHARS = 2, 25
 #: Index times probe members up to which all pairs of a bucket are compared at once.
 SMALL = 1 << 22
+#: Most line hashes (8 bytes each) that are broadcast.
+FEW = 500_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _SPACE = " \t\n\x0b\f\r"
@@ -246,12 +248,16 @@ def _verified(pairs: DataFrame, lines: DataFrame, tau: int) -> DataFrame:
         return pd.Series([within(p, q, tau) for p, q in zip(x, y, strict=True)], dtype=bool)
 
     ends = pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct()
-    texts = durable(lines.select("lid", "text").join(ends, "lid", "left_semi").dropDuplicates(["lid"]), "texts")
+    # Few ends, by count, go to the lines; else lines and ends meet by hash.
+    ends = durable(ends, "ends")
+    few = ends.count() <= FEW
+    texts = lines.select("lid", "text").join(F.broadcast(ends) if few else ends, "lid", "left_semi").dropDuplicates(["lid"])
+    texts = durable(texts, "texts")
     full = pairs.join(texts.select(F.col("lid").alias("a"), F.col("text").alias("x")), "a").join(
         texts.select(F.col("lid").alias("b"), F.col("text").alias("y")), "b"
     )
     out = durable(full.where(near("x", "y")).select("a", "b"), "links")
-    release(texts)
+    release(texts, ends)
     return out
 
 
