@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from matchloom.llm import bpe, lines
 from matchloom.llm.lines import line_classes, within, without_repeats
-from matchloom.llm.packing import WordEncoder, best_fit_decreasing, pack, plan, sequences, tokenized_pieces
+from matchloom.llm.packing import TextEncoder, best_fit_decreasing, pack, plan, sequences, tokenized_pieces
 
 SCHEMA = "doc_id long, text string, sequence_id string, line long"  # the last two clash with added names
 
@@ -120,13 +120,14 @@ def test_plan_fills_sequences_without_gaps():
     assert best_fit_decreasing({}, 8) == []
 
 
-def test_word_encoder_equals_the_library():
-    encode = WordEncoder(P.path("byte_bpe_50k.json"))
+def test_text_encoder_equals_the_library():
+    encode = TextEncoder(P.path("byte_bpe_50k.json"))
     rng = random.Random(2)
     bits = ["the", "Ünï", "'s", "don't", " ", "  ", "\n", "\t", ".", ",", "x1", "<|endoftext|>", " ", "\0", "漢字", "...", "É,"]
     for _ in range(400):
         text = "".join(rng.choice(bits) for _ in range(rng.randrange(30)))
-        assert encode(text) == encode._direct([text])[0], text
+        assert encode(text) == np.array(encode.direct(text), "<u4").tobytes(), text
+    assert encode.ranked is not None
 
 
 def test_packed_pieces_round_trip(spark):
@@ -135,7 +136,7 @@ def test_packed_pieces_round_trip(spark):
     size = 64
     pieces = tokenized_pieces(docs, P.path("byte_bpe_50k.json"), 2, size)
     placed = pack(pieces, size).cache()
-    encode = WordEncoder(P.path("byte_bpe_50k.json"))
+    encode = TextEncoder(P.path("byte_bpe_50k.json"))
     want = {}
     for i, t, _, _ in rows:
         want[i] = encode(t or "") + np.array([2], "<u4").tobytes()
