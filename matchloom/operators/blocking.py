@@ -97,16 +97,14 @@ def padded_grams(x: Column, sizes: tuple[int, ...] = (3, 4)) -> Column:
     """All n-grams of each word padded with one space on either side; a word that fits whole gives one gram, of the smallest n."""
     words = F.transform(tx.tokens(F.lower(x)), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
+    def runs(w: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1)))
+        return F.when(F.length(w) >= n, F.transform(starts, lambda i: F.substring(w, i, F.lit(n)))).otherwise(
+            F.array().cast("array<string>")
+        )
+
     def of(w: Column) -> Column:
-        whole = F.length(w) <= sizes[0]
-        each = [
-            F.when(
-                F.length(w) >= n,
-                F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i, n=n: F.substring(w, i, F.lit(n))),
-            ).otherwise(F.array().cast("array<string>"))
-            for n in sizes
-        ]
-        return F.when(whole, F.array(w)).otherwise(F.concat(*each))
+        return F.when(F.length(w) <= sizes[0], F.array(w)).otherwise(F.concat(*[runs(w, n) for n in sizes]))
 
     return F.flatten(F.transform(words, of))
 

@@ -311,8 +311,8 @@ ORACLE_SQL |= {
     "bucket_sizes": f"WITH {PARTY}, {KEYS} SELECT block_key, count(*) AS bucket_size FROM keys WHERE src <> 1 GROUP BY ALL",
     "block_deterministic": f"WITH {PARTY}, {KEYS}, {_deterministic(150, 40, 80)} SELECT * FROM det",
     "block_deterministic_small_buckets": f"{BASE} SELECT * FROM det",
-    "tfidf_vocab": _tfidf(_name("business_name"), 30, "SELECT gram, df, round(idf, 6) AS idf FROM vocab"),
-    "tfidf_weights": _tfidf(_name("business_name"), 30, "SELECT id, gram, round(w, 6) AS w FROM weights WHERE src <> 1"),
+    "tfidf_vocab": _tfidf(_FULL, 30, "SELECT gram, df, round(idf, 6) AS idf FROM vocab"),
+    "tfidf_weights": _tfidf(_FULL, 30, "SELECT id, gram, round(w, 6) AS w FROM weights WHERE src <> 1"),
     "block_tfidf_name": _tfidf(_name("business_name"), 30, "TOPK"),
     "block_tfidf_nameaddr": _tfidf(_FULL, 40, "TOPK"),
     "block_vector": """

@@ -108,7 +108,7 @@ def block_deterministic_small_buckets(spark, sf_dir):
 
 
 def _grams(e: DataFrame) -> DataFrame:
-    return bl.gram_counts(e.select(F.col("entity_id").alias("id"), tx.normalize_name(F.col("business_name")).alias("text")))
+    return bl.gram_counts(e.select(F.col("entity_id").alias("id"), pl.full_text().alias("text")))
 
 
 @query
