@@ -2,7 +2,7 @@
 
 Writing builds records as Spark expressions; Spark's own writer commits them, with the
 record terminator as line separator, so any shared file system and lost executors are
-covered.  Archives are kept to a bounded size.
+covered.  Archives are kept to a bounded size and compressed as a whole; offsets are those of the uncompressed bytes.
 
 Reading doesn't trust the magic bytes.  Tasks emit every place that looks like a record
 head, with the place of its successor by its Content-Length.  From these candidate links
@@ -12,6 +12,7 @@ of the file reaches; magic inside payloads is off the chain and goes.
 
 from __future__ import annotations
 
+import gzip
 import re
 from collections.abc import Iterator
 
@@ -70,7 +71,7 @@ def write_warc(
     total = pages.agg(F.sum(F.octet_length(payload)).alias("b"), F.count("*").alias("n")).first()
     files = 1 + ((total["b"] or 0) + 500 * total["n"]) // ARCHIVE_BYTES
     out = rows.repartition(int(files), F.xxhash64("id", "digest", "url")).select(record.alias("value"))
-    out.write.option("lineSep", END).text(path)
+    out.write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def candidates(archives: DataFrame) -> DataFrame:
@@ -80,6 +81,7 @@ def candidates(archives: DataFrame) -> DataFrame:
         names = ["path", "offset", "next", "record_type", "record_id", "refers_to", "digest", "size", "payload"]
         for pdf in batches:
             for path, data in zip(pdf["path"], pdf["content"], strict=True):
+                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
                 rows, held = [], 0
                 for m in _MAGIC.finditer(data):
                     head = _HEAD.match(data, m.start())
@@ -139,7 +141,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     Columns as of :func:`candidates`.  Candidate links are narrow rows, and those of one archive, which has a bounded
     size, meet in a task; payloads are read again and joined with the verified places.
     """
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path)
     found = candidates(archives)
 
     def chain(group: pd.DataFrame) -> pd.DataFrame:
