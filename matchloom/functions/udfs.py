@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from . import kernels
 
 
-def _pairwise(kernel, returns: str):
+def _pairwise(kernel, returns: T.DataType):
     """A two-column function; null counts as empty, and equal pairs in a batch are computed once."""
 
     @pandas_udf(returns)
@@ -26,19 +27,19 @@ def _pairwise(kernel, returns: str):
 
 
 def _single(kernel):
-    @pandas_udf("string")
+    @pandas_udf(T.StringType())
     def run(a: pd.Series) -> pd.Series:
         return pd.Series([kernel(x) for x in a.fillna("")], dtype=object)
 
     return run
 
 
-jaro_winkler = _pairwise(kernels.jaro_winkler, "double")
-indel_ratio = _pairwise(kernels.indel, "double")
-token_sort_ratio = _pairwise(kernels.token_sort, "double")
-partial_ratio = _pairwise(kernels.partial, "double")
-lcs_substring = _pairwise(kernels.substring, "int")
-lcs_subsequence = _pairwise(kernels.subsequence, "int")
+jaro_winkler = _pairwise(kernels.jaro_winkler, T.DoubleType())
+indel_ratio = _pairwise(kernels.indel, T.DoubleType())
+token_sort_ratio = _pairwise(kernels.token_sort, T.DoubleType())
+partial_ratio = _pairwise(kernels.partial, T.DoubleType())
+lcs_substring = _pairwise(kernels.substring, T.IntegerType())
+lcs_subsequence = _pairwise(kernels.subsequence, T.IntegerType())
 metaphone = _single(kernels.metaphone)
 ascii_fold_exact = _single(kernels.ascii_fold)
 
