@@ -32,7 +32,7 @@ def _lines(text: Column) -> Column:
 
 def _normal(line: Column) -> Column:
     """Hash of the normalised line; null for one without letters or digits."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]", "0"), "[^\\p{L}\\p{N}]+", " "))
+    plain = F.trim(F.regexp_replace(F.translate(F.lower(line), "123456789", "0" * 9), "[^\\p{L}\\p{N}]+", " "))
     return F.when(plain != "", F.xxhash64(plain))
 
 
