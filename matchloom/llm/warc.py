@@ -24,7 +24,10 @@ from .storage import durable
 
 #: Payload bytes in an archive, about, and least bytes of a payload that may be revisited.
 ARCHIVE_BYTES, REVISIT_BYTES = 16 << 20, 1000
+#: Most places (8 bytes each) that are broadcast.
+FEW = 1_000_000
 END = "\r\n\r\n"
+_TEXTS = (b"warc-type", b"warc-record-id", b"warc-refers-to", b"warc-payload-digest")
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)+)\r\n")
 _PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -74,39 +77,61 @@ def write_warc(
     out.write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
+_NAMES = ["path", "offset", "next", "record_type", "record_id", "refers_to", "digest", "size", "payload"]
+_RECORD = (
+    "path string, offset long, next long, record_type string, record_id string, refers_to string, digest string, size long, payload binary"
+)
+
+
+def _record(path: str, data: bytes, at: int, whole: bool) -> tuple | None:
+    """The record whose head starts at a place, or None if there is no head with a length; ``whole`` reads its block too."""
+    head = _HEAD.match(data, at)
+    fields = _fields(head[1]) if head else {}
+    length = fields.get(b"content-length", b"")
+    if not length.isdigit():
+        return None
+    end = head.end() + int(length)
+    if not whole:
+        return (path, at, end + len(END))
+    http, _, payload = data[head.end() : end].partition(b"\r\n\r\n")
+    size = _fields(http).get(b"content-length", b"")
+    text = [fields[k].decode("utf-8", "replace") if k in fields else None for k in _TEXTS]
+    return (path, at, end + len(END), *text, int(size) if size.isdigit() else len(payload), payload)
+
+
+def _plain(data: bytes) -> bytes:
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
 def candidates(archives: DataFrame) -> DataFrame:
-    """All possible records of (path, content) rows: path, offset, next, record_type, record_id, refers_to, digest, size, payload."""
+    """(path, offset, next) of all places in (path, content) rows that look like a record head."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["path", "offset", "next", "record_type", "record_id", "refers_to", "digest", "size", "payload"]
         for pdf in batches:
-            for path, data in zip(pdf["path"], pdf["content"], strict=True):
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                rows, held = [], 0
-                for m in _MAGIC.finditer(data):
-                    head = _HEAD.match(data, m.start())
-                    fields = _fields(head[1]) if head else {}
-                    length = fields.get(b"content-length", b"")
-                    if not length.isdigit():
-                        continue
-                    block = data[head.end() : head.end() + int(length)]
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    size = _fields(http).get(b"content-length", b"")
-                    text = lambda k, f=fields: f[k].decode("utf-8", "replace") if k in f else None
-                    rows.append((
-                        path, m.start(), head.end() + int(length) + len(END), text(b"warc-type"), text(b"warc-record-id"),
-                        text(b"warc-refers-to"), text(b"warc-payload-digest"), int(size) if size.isdigit() else len(payload), payload,
-                    ))
-                    held += len(payload)
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                data = _plain(content)
+                found = [r for m in _MAGIC.finditer(data) if (r := _record(path, data, m.start(), False))]
+                yield pd.DataFrame(found, columns=_NAMES[:3])
+
+    return archives.select("path", "content").mapInPandas(run, "path string, offset long, next long")
+
+
+def records(archives: DataFrame) -> DataFrame:
+    """The records at the given places of (path, content, offsets) rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content, offsets in zip(pdf["path"], pdf["content"], pdf["offsets"], strict=True):
+                data, rows, held = _plain(content), [], 0
+                for at in offsets:
+                    rows.append(_record(path, data, int(at), True))
+                    held += len(rows[-1][-1])
                     if held > 4 << 20:
-                        yield pd.DataFrame(rows, columns=names)
+                        yield pd.DataFrame(rows, columns=_NAMES)
                         rows, held = [], 0
-                yield pd.DataFrame(rows, columns=names)
+                yield pd.DataFrame(rows, columns=_NAMES)
 
-    return archives.select("path", "content").mapInPandas(
-        run,
-        "path string, offset long, next long, record_type string, record_id string, refers_to string, digest string, size long, payload binary",
-    )
+    return archives.select("path", "content", "offsets").mapInPandas(run, _RECORD)
 
 
 def _fields(head: bytes) -> dict[bytes, bytes]:
@@ -138,17 +163,18 @@ def reached(offset: np.ndarray, successor: np.ndarray) -> np.ndarray:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records on the chains of all archives below ``path``; bytes after a broken link aren't records.
 
-    Columns as of :func:`candidates`.  Candidate links are narrow rows, and those of one archive, which has a bounded
-    size, meet in a task; payloads are read again and joined with the verified places.
+    Columns: path, offset, next, record_type, record_id, refers_to, digest, size (of the full payload), payload.  Candidate
+    links are narrow rows, and those of one archive, which has a bounded size, meet in a task.  Verified places are one row per
+    archive; they go to the archives, or, where they are too many to broadcast, meet them by path, still compressed.
     """
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path)
-    found = candidates(archives)
 
     def chain(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("offset")
         on = reached(group["offset"].to_numpy(), group["next"].to_numpy())
-        return group.loc[on, ["path", "offset"]]
+        return pd.DataFrame({"path": [group["path"].iloc[0]], "offsets": [group["offset"].to_numpy()[on]]})
 
-    links = found.select("path", "offset", "next")
-    good = durable(links.groupBy("path").applyInPandas(chain, "path string, offset long"), "chain")
-    return found.join(good, ["path", "offset"], "left_semi")
+    found = candidates(archives).groupBy("path").applyInPandas(chain, "path string, offsets array<long>")
+    good = durable(found, "chain")
+    few = (good.agg(F.sum(F.size("offsets"))).first()[0] or 0) <= FEW
+    return records(archives.select("path", "content").join(F.broadcast(good) if few else good.hint("shuffle_hash"), "path"))
