@@ -24,8 +24,8 @@ from .storage import durable
 
 #: Payload bytes in an archive, about, and least bytes of a payload that may be revisited.
 ARCHIVE_BYTES, REVISIT_BYTES = 16 << 20, 1000
-#: Most places (8 bytes each) that are broadcast.
-FEW = 1_000_000
+#: Most places (8 bytes each) and groups of equal payloads (60 bytes each) that are broadcast.
+FEW, FEW_GROUPS = 1_000_000, 200_000
 END = "\r\n\r\n"
 _TEXTS = (b"warc-type", b"warc-record-id", b"warc-refers-to", b"warc-payload-digest")
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
@@ -51,7 +51,9 @@ def write_warc(
         rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest", "size")
         .agg(F.max("id").alias("response"), F.count("*").alias("n")).where("n > 1 and response is not null").drop("n")
     )
-    rows = rows.join(groups, ["digest", "size"], "left")
+    # Few groups, by count, go to the rows, which then move once; else both meet by digest.
+    groups = durable(groups, "groups")
+    rows = rows.join(F.broadcast(groups) if groups.count() <= FEW_GROUPS else groups, ["digest", "size"], "left")
     revisit = F.col("response").isNotNull() & ~F.col("id").eqNullSafe(F.col("response"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     line = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit("\r\n"))
