@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .storage import durable
+
 SYMBOLS = "#*$%&|<>"
 #: Fixed values of the base rules: least words, and most per cent of words in repeated windows.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -141,7 +143,9 @@ def quality_rules(
     ).join(removed, "_key", "left").drop("_key")
     gone = F.coalesce("words_removed", F.lit(0)).cast("long")
     left = F.col("n_words") - gone >= min_left * F.col("n_words")
-    return out.withColumn("words_removed", gone).withColumn("kept", ~F.col("base_failed") & left)
+    out = out.withColumn("words_removed", gone).withColumn("kept", ~F.col("base_failed") & left)
+    # A filter on a verdict would be pushed into the window expressions and compute them again for every element.
+    return durable(out, "judged") if with_lines else out
 
 
 def without_lines(judged: DataFrame, text_col: str = "text") -> DataFrame:
