@@ -3,9 +3,10 @@
 A line is normalised (A-Z lower-cased, digits as 0, runs of other characters than
 letters and digits as one space) and hashed.  For every host the number of distinct
 documents that hold the line is counted.  Copies must not make a clean line look like
-boilerplate, so documents are told apart by the smallest hash among their *other*
-lines: all exact copies count as one, and so do most near copies.  Lines above both
-limits are removed, and a document left with too little of its words is rejected.
+boilerplate, so documents are told apart by a hash of all their distinct normalised
+lines: copies that differ in case, digits, punctuation, blank lines or the order of lines
+count as one, and what other lines are shared plays no part.  Lines above both limits
+are removed, and a document left with too little of its words is rejected.
 """
 
 from __future__ import annotations
@@ -97,10 +98,8 @@ def frequent_lines(
     rows = docs.select(
         host.alias("host"), F.array_distinct(F.array_compact(F.transform(_lines(F.col(text_col)), _normal))).alias("hs")
     )
-    low = rows.withColumn("lows", F.slice(F.sort_array("hs"), 1, 2))
-    each = low.select("host", "lows", F.explode("hs").alias("line"))
-    other = F.when(F.get("lows", F.lit(0)) == F.col("line"), F.get("lows", F.lit(1))).otherwise(F.get("lows", F.lit(0)))
-    seen = each.select("host", "line", F.coalesce(other, F.lit(0)).alias("doc")).distinct().groupBy("host", "line").count()
+    each = rows.select("host", F.xxhash64(F.sort_array("hs")).alias("doc"), F.explode("hs").alias("line"))
+    seen = each.distinct().groupBy("host", "line").count()
     hosts = docs.groupBy(host.alias("host")).agg(F.count("*").alias("docs"))
     limit = F.greatest(F.lit(max_docs), F.col("docs") * max_share)
     return seen.where(F.col("count") > max_docs).join(hosts, "host").where(F.col("count") > limit).select("host", "line")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from matchloom.llm.components import components
 from matchloom.llm.minhash import near_duplicates
-from matchloom.llm.quality import quality_rules, without_lines
+from matchloom.llm.quality import frequent_lines, quality_rules, without_lines
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -62,6 +62,17 @@ def test_frequent_lines_deplete_junk_but_not_copies(spark):
     assert line not in cut[0] and cut[200] == clean
 
 
+def test_lines_shared_by_many_documents_are_frequent_whatever_else_they_share(spark):
+    line = lambda i: f"line {chr(97 + i // 26)}{chr(97 + i % 26)} of a template"
+    shared, clean = "\n".join(map(line, range(20))), "\n".join(map(line, range(600, 610)))
+    rows = [(i, f"{shared}\n{line(100 + i)}", "en", "host", 0) for i in range(100)]
+    rows += [(200 + i, clean.upper() + "\n" * (i % 3), "en", "host", 0) for i in range(100)]  # copies
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert frequent_lines(docs, "text", "source").count() == 20
+    got = {r.doc_id: r.words_removed for r in quality_rules(docs).collect()}
+    assert got == {i: 100 for i in range(100)} | {200 + i: 0 for i in range(100)}
+
+
 def test_quality_empty_table(spark):
     assert quality_rules(spark.createDataFrame([], SCHEMA)).count() == 0
 
