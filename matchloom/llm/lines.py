@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components
+from .minhash import _similar
+from .sketch import shingles, words
 from .storage import durable, release
 
 TAU, MIN_CHARS = 2, 25
@@ -34,6 +36,8 @@ TAU, MIN_CHARS = 2, 25
 SMALL = 1 << 22
 #: Most line hashes (8 bytes each) that are broadcast.
 FEW = 500_000
+#: Parts into which the copies of one document are dealt.
+SALTS = 256
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _SPACE = " \t\n\x0b\f\r"
@@ -290,13 +294,14 @@ def line_links(lines: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
     return first.unionByName(_verified(across, lines, tau))
 
 
-def _places(docs: DataFrame, id_col: str, text_col: str, tau: int, min_chars: int) -> DataFrame:
-    """(doc, line, lid, first) of every line with a word; first: (doc, line) of its class."""
+def _places(docs: DataFrame, id_col: str, text_col: str, tau: int, min_chars: int, sized: bool = False) -> DataFrame:
+    """(doc, line, lid, first) of every line with a word, with ``sized`` its characters too; first: (doc, line) of its class."""
     lines = line_rows(docs, id_col, text_col)
     label = components(line_links(lines, tau, min_chars)).withColumnRenamed("node", "lid")
+    size = [F.length("text").alias("size")] if sized else []
     places = durable(
-        lines.select("doc", "line", "lid").join(label, "lid", "left")
-        .select("doc", "line", "lid", F.coalesce("component", "lid").alias("class")),
+        lines.select("doc", "line", "lid", *size).join(label, "lid", "left")
+        .select("doc", "line", "lid", F.coalesce("component", "lid").alias("class"), *(["size"] if sized else [])),
         "places",
     )
     first = places.groupBy("class").agg(F.min(F.struct("doc", "line")).alias("first"))
@@ -325,23 +330,70 @@ def line_classes(
     )
 
 
+def _near_copies(cut: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """(_c, _h) of the rows of ``cut`` whose ``_part`` has the similarity to the text of document ``_of``, on full shingle sets."""
+
+    @F.pandas_udf("boolean")
+    def near(x: pd.Series, y: pd.Series) -> pd.Series:
+        sets = ((shingles(words(p), k), shingles(words(q), k)) for p, q in zip(x, y, strict=True))
+        return pd.Series([len(a) > 0 and len(b) > 0 and _similar(a, b, percent) for a, b in sets], dtype=bool)
+
+    asked = cut.where("_part is not null and _of is not null").select(
+        F.col(id_col).cast("long").alias("_c"), _row(text_col).alias("_h"), "_of", F.col("_part").alias("x")
+    )
+    asked = asked.where("_c is not null").withColumn("salt", F.pmod("_h", F.lit(SALTS)))
+    # A document with many copies goes to those parts of them that occur.
+    wanted = asked.select("_of", "salt").distinct()
+    texts = cut.select(F.col(id_col).cast("long").alias("_of"), F.col(text_col).alias("y")).join(wanted, "_of")
+    return asked.join(texts, ["_of", "salt"]).where(near("x", "y")).select("_c", "_h").distinct()
+
+
+def _row(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col), F.col("_part"))
+
+
 def without_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS, spare: float = 0.5
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    tau: int = TAU,
+    min_chars: int = MIN_CHARS,
+    spare: float = 0.5,
+    k: int = 5,
+    threshold: float = 0.75,
 ) -> DataFrame:
     """The rows of ``docs`` with all but the first occurrence of every line class cut out of their texts.
 
-    A document that would lose more than ``spare`` of its characters is a copy of others,
-    which is a matter for a document-level step: it stays whole.  Rows, columns and other lines stay as they are.
+    A document that would lose more than ``spare`` of its characters may be a near copy, which is a matter for a
+    document-level step.  Of its repeats those are put back whose first occurrences the one other document holds
+    that has most of them; they stay if the two, as they are left then, reach the ``threshold`` of that step on their
+    ``k``-word shingles.  In all other documents every repeat is cut.  Rows, columns and other lines stay as they are.
     """
-    gone = _places(docs, id_col, text_col, tau, min_chars).where("not kept")
-    gone = gone.groupBy("doc").agg(F.collect_set(F.struct("line", "lid")).alias("_gone"))
+    gone = _places(docs, id_col, text_col, tau, min_chars, sized=True).where("not kept")
+    gone = gone.groupBy("doc", F.col("first.doc").alias("of")).agg(
+        F.collect_set(F.struct("line", "lid")).alias("part"), F.sum("size").alias("n")
+    )
+    other = F.when(F.col("of") != F.col("doc"), F.struct("n", "of"))
+    gone = gone.groupBy("doc").agg(F.collect_list(F.struct("of", "part")).alias("_by"), F.max(other)["of"].alias("_of"))
+    gone = gone.select(
+        "doc", "_of", F.flatten(F.col("_by.part")).alias("_gone"),
+        F.flatten(F.transform(F.filter("_by", lambda b: ~b["of"].eqNullSafe(F.col("_of"))), lambda b: b["part"])).alias("_others"),
+    )
     trimmed = lambda x: F.btrim(x, F.lit(_SPACE))
-    left = F.filter(
-        F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_gone", F.struct(i.alias("line"), F.xxhash64(trimmed(x)).alias("lid")))
+    without = lambda name: F.array_join(
+        F.filter(
+            F.split(text_col, "\n"), lambda x, i: ~F.array_contains(name, F.struct(i.alias("line"), F.xxhash64(trimmed(x)).alias("lid")))
+        ),
+        "\n",
     )
-    out = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["doc"]), "left").withColumn(
-        "_rest", F.when(F.col("_gone").isNotNull(), F.array_join(left, "\n"))
+    cut = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["doc"]), "left").withColumn(
+        "_rest", F.when(F.col("_gone").isNotNull(), without("_gone"))
     )
     short = F.length("_rest") < (1 - spare) * F.length(text_col)
-    text = F.when(F.col("_rest").isNull() | short, F.col(text_col)).otherwise(F.col("_rest"))
-    return out.withColumn(text_col, text).select(*docs.columns)
+    cut = cut.withColumn("_part", F.when(short, without("_others"))).withColumn(text_col, F.coalesce("_rest", text_col))
+    cut = durable(cut.select(*docs.columns, "_of", "_part"), "cut")
+    copies = durable(_near_copies(cut, id_col, text_col, k, round(threshold * 100)), "copies")
+    asked = cut.where("_part is not null").withColumn("_h", _row(text_col))
+    asked = asked.join(copies, (asked[id_col].cast("long") == copies["_c"]) & (asked["_h"] == copies["_h"]), "left")
+    asked = asked.withColumn(text_col, F.when(F.col("_c").isNotNull(), F.col("_part")).otherwise(F.col(text_col)))
+    return cut.where("_part is null").select(*docs.columns).unionByName(asked.select(*docs.columns))

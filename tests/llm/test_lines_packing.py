@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from matchloom.llm import bpe, lines
 from matchloom.llm.lines import line_classes, within, without_repeats
+from matchloom.llm.minhash import near_duplicates
 from matchloom.llm.packing import TextEncoder, best_fit_decreasing, pack, plan, sequences, tokenized_pieces
 
 SCHEMA = "doc_id long, text string, sequence_id string, line long"  # the last two clash with added names
@@ -101,6 +102,28 @@ def test_repeats_go_and_copies_stay(spark):
     assert line_classes(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_only_near_copies_of_one_document_keep_repeats(spark):
+    rng = random.Random(8)
+    line = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(12))
+    a, b, c, d = ([line() for _ in range(6)] for _ in range(4))
+    own, word = line(), "some words of its own that are not found anywhere else"
+    texts = {
+        1: a, 2: b,
+        3: [*a[:3], *b[:3], own],  # of two documents
+        4: [*c, *d, *(line() for _ in range(20))],
+        5: [*c[:4], word],  # around one passage of a long document
+        6: [own + " end of it"] * 4,  # repeats itself
+        7: [*b, line()],  # a near copy of document 2
+        8: [*a[:2], *(x + " new" for x in d)], 9: [*a[:2], *(x + " new" for x in d)],  # the first one is cut, too
+    }
+    rows = [(i, "\n".join(t), "s", 9) for i, t in texts.items()]
+    out = without_repeats(spark.createDataFrame(rows, SCHEMA)).cache()
+    got = {r.doc_id: r.text.split("\n") for r in out.collect()}
+    whole = {i: texts[i] for i in (1, 2, 4, 7)}
+    assert got == whole | {3: [own], 5: [word], 6: texts[6][:1], 8: texts[8][2:], 9: texts[8][2:]}
+    assert {r.doc_id for r in near_duplicates(out).where("not kept").collect()} == {7, 9}
+
+
 def test_plan_fills_sequences_without_gaps():
     rng = np.random.default_rng(1)
     for size, n in ((16, 500), (64, 3000), (32, 1), (8, 0)):
