@@ -139,7 +139,8 @@ def _across(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     group = group.drop_duplicates("id")
     band, i, j = int(group["band"].iloc[0]), int(group["i"].iloc[0]), int(group["j"].iloc[0])
     ids, size, block = group["id"].to_numpy(), group["n_shingles"].to_numpy(), group["block"].to_numpy()
-    tiny = np.frombuffer(b"".join(group["tiny"]), np.uint8).reshape(len(ids), -1)
+    sig = np.frombuffer(b"".join(group["sig"]), "<u4").reshape(len(ids), -1)
+    tiny = sig.astype(np.uint8)
     sets = [np.frombuffer(x, np.uint64) for x in group["hashes"]]
     labels, comp = np.unique(group["comp"].to_numpy(), return_inverse=True)
     parent = np.arange(len(labels))
@@ -161,8 +162,10 @@ def _across(group: pd.DataFrame, percent: int) -> pd.DataFrame:
         match = same.sum(axis=1)
         near = match >= least
         if near.any():
-            first = same[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-            for o in others[near][first][np.argsort(-match[near][first], kind="stable")]:
+            others, match = others[near], match[near]
+            # On full minima, as buckets are: single bytes of an earlier band may agree by chance.
+            first = (sig[others] == sig[s]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+            for o in others[first][np.argsort(-match[first], kind="stable")]:
                 p, q = find(comp[s]), find(comp[o])
                 if p != q and _similar(sets[s], sets[o], percent):
                     parent[max(p, q)] = min(p, q)
@@ -204,9 +207,9 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int,
     )
     dealt = (
         rest.join(sets, "id")
-        .join(nodes.select("id", "n_shingles", "tiny"), "id")
+        .join(nodes.select("id", "n_shingles", "sig"), "id")
         .withColumn("pair", F.explode(pairs))
-        .select("key", "band", "id", "comp", "block", "pair.i", "pair.j", "n_shingles", "tiny", "hashes")
+        .select("key", "band", "id", "comp", "block", "pair.i", "pair.j", "n_shingles", "sig", "hashes")
     )
     more = durable(
         dealt.groupBy("key", "i", "j").applyInPandas(lambda g: _across(g, percent), "a long, b long"), "links"

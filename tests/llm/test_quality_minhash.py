@@ -2,10 +2,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from matchloom.llm.components import components
-from matchloom.llm.minhash import near_duplicates
+from matchloom.llm.minhash import BANDS, ROWS, _across, near_duplicates
 from matchloom.llm.quality import frequent_lines, quality_rules, without_lines
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -124,6 +126,19 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_first_shared_band_is_that_of_full_minima():
+    low = np.arange(ROWS * BANDS, dtype="<u4").reshape(BANDS, ROWS)
+    other = low.copy()
+    other[:5] += 1
+    other[2] = low[2] + 256  # last bytes agree by chance, minima don't
+    rows = pd.DataFrame({"id": [1, 2], "comp": [1, 2], "band": 5, "i": 0, "j": 0, "block": 0, "n_shingles": 40})
+    rows["sig"] = [x.tobytes() for x in (low, other)]
+    rows["tiny"] = [x.astype(np.uint8).tobytes() for x in (low, other)]
+    rows["hashes"] = [np.arange(40, dtype=np.uint64).tobytes()] * 2
+    assert _across(rows, 75).values.tolist() == [[1, 2]]
+    assert _across(rows.assign(band=6), 75).empty
+
+
 def test_near_duplicates_edges(spark):
     text = " ".join(map(str, range(40)))
     rows = [(7, text), (7, text), (3, text), (None, text), (None, "only here"), (9, "only there"), (9, text + " more")]
