@@ -78,27 +78,37 @@ def balanced_pairs(labelled: DataFrame, ratio: int = 3, seed: int = 42) -> DataF
 
 
 def super_hard_negatives(
-    s1: DataFrame, other: DataFrame, truth: DataFrame, least: float = 0.6, pool: int = 15, n: int = 5, seed: int = 42, max_bucket: int = 1000
+    s1: DataFrame, other: DataFrame, truth: DataFrame, least: float = 0.6, pool: int = 15, n: int = 5, seed: int = 42, block: int = 1000
 ) -> DataFrame:
     """(s1, o, name_sim): non-matches of the same country with a similar name, n of the ``pool`` most similar in hash order.
 
-    Pairs come from equal countries and first name letters; that block key keeps the theta join from a
-    whole country.  ``max_bucket`` bounds a bucket's reference rows, taken in hash order: it is the sampling of this operator.
+    Every row meets all rows of its country.  A country is cut into blocks of about ``block`` rows on both sides; each pair
+    of blocks is a join key of its own, and the best of a block go on to meet those of the others.
     """
     side = lambda e: e.select(
         "entity_id", tx.normalize_name(F.col("business_name")).alias("n"), tx.normalize_country(F.col("country")).alias("c")
-    ).withColumn("key", F.concat("c", F.lit("|"), F.left("n", F.lit(1))))
-    bucket = Window.partitionBy("key").orderBy(draw(seed, "entity_id"), "entity_id")
-    right = side(other).withColumn("place", F.row_number().over(bucket)).where(F.col("place") <= max_bucket)
+    )
+    parts = lambda e, name: e.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    a, b = side(s1), side(other)
+    blocks = F.broadcast(parts(a, "qs").join(parts(b, "rs"), "c"))
+    mine = lambda count: F.pmod(F.xxhash64("entity_id"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    true = truth.groupBy("s1").agg(F.collect_set("o").alias("true"))
+    left = a.join(true, a["entity_id"] == true["s1"], "left").drop("s1").join(blocks, "c").select(
+        F.col("entity_id").alias("s1"), F.col("n").alias("x"), "true", "c", mine("qs").alias("q"), every("rs").alias("r")
+    )
+    right = b.join(blocks, "c").select(F.col("entity_id").alias("o"), F.col("n").alias("y"), "c", every("qs").alias("q"), mine("rs").alias("r"))
     near = (
-        side(s1).select(F.col("entity_id").alias("s1"), F.col("n").alias("x"), "key")
-        .join(right.select(F.col("entity_id").alias("o"), F.col("n").alias("y"), "key"), "key")
-        .join(truth, ["s1", "o"], "left_anti")
+        left.join(right, ["c", "q", "r"])
+        .where(~F.coalesce(F.array_contains("true", F.col("o")), F.lit(False)))
         .withColumn("name_sim", F.round(udfs.jaro_winkler("x", "y"), 6)).where(F.col("name_sim") >= least)
+        .select("s1", "o", "name_sim", F.col("r").alias("block"))
     )
+    first = Window.partitionBy("s1", "block").orderBy(F.desc("name_sim"), F.desc("o"))
     best = Window.partitionBy("s1").orderBy(F.desc("name_sim"), F.desc("o"))
     some = Window.partitionBy("s1").orderBy(draw(seed, "s1", "o"), "o")
-    top = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= pool)
+    top = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= pool)
+    top = top.withColumn("r", F.row_number().over(best)).where(F.col("r") <= pool)
     return top.withColumn("r", F.row_number().over(some)).where(F.col("r") <= n).select("s1", "o", "name_sim")
 
 

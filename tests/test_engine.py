@@ -197,3 +197,20 @@ def test_training_run(spark):
     matched = pl.match(model, threshold, s1, other, config)
     assert matched.count() == 60
     assert cx.context_columns(cx.candidate_scores(pl.block_one_source(s1, other, config), s1, other)).where("rank = 0").count() <= 60
+
+
+def test_super_hard_negatives_look_at_the_whole_country(spark):
+    rng = random.Random(9)
+    names = ["".join(rng.choice("abcde") for _ in range(9)) for _ in range(60)]
+    s1 = spark.createDataFrame([(f"S1-{i}", i, n, "", "xy"[i % 2]) for i, n in enumerate(names[:12])], ENTITY)
+    other = spark.createDataFrame([(f"S2-{i}", i, n, "", "xy"[i % 2]) for i, n in enumerate(names[12:])], ENTITY)
+    truth = spark.createDataFrame([("S1-0", "S2-0"), ("S1-0", "S2-2"), ("S1-3", "S2-1")], "s1 string, o string")
+    known = {(r.s1, r.o) for r in truth.collect()}
+    want = {}
+    for i, x in enumerate(names[:12]):
+        near = [(round(kernels.jaro_winkler(x, y), 6), f"S2-{j}") for j, y in enumerate(names[12:]) if i % 2 == j % 2]
+        near = sorted((v for v in near if v[0] >= 0.6 and (f"S1-{i}", v[1]) not in known), reverse=True)[:6]
+        want |= {(f"S1-{i}", o): v for v, o in near}
+    for extra in ({}, {"block": 5}):
+        got = tr.super_hard_negatives(s1, other, truth, pool=6, n=6, **extra)
+        assert {(r.s1, r.o): r.name_sim for r in got.collect()} == want
