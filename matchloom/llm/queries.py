@@ -141,6 +141,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _URL_RULES_SQL = ", ".join(f"('{e}', '{v}')" for e, v in URL_RULES)
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+            FROM documents),
+        win AS (
+            SELECT r, i, struct_pack(a := ws[i], b := ws[i + 1], c := ws[i + 2]) AS w
+            FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
+        again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS n FROM win) WHERE n > 1),
+        steps AS (SELECT r, least(3, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i), 3)) AS step FROM again),
+        repeats AS (SELECT r, sum(step) AS n FROM steps GROUP BY r),
+        raw AS (SELECT r, doc_id, host, unnest(string_split(text, chr(10))) AS raw FROM d),
+        lines AS (
+            SELECT r, host, raw, len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) AS words,
+                   trim(regexp_replace(regexp_replace(lower(raw), '[1-9]', '0', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')) AS line
+            FROM raw),
+        dups AS (SELECT r, count(*) - count(DISTINCT raw) AS n FROM lines WHERE words > 0 GROUP BY r),
+        docs AS (SELECT r, list_sort(list(DISTINCT line)) AS doc FROM lines WHERE line <> '' GROUP BY r),
+        hosts AS (SELECT host, least(count(*) * 0.02, 200) AS share FROM d GROUP BY host),
+        frequent AS (
+            SELECT host, line FROM lines JOIN docs USING (r) JOIN hosts USING (host) WHERE line <> ''
+            GROUP BY host, line, share HAVING count(DISTINCT doc) > greatest(20, share)),
+        gone AS (SELECT r, sum(words) AS n FROM lines JOIN frequent USING (host, line) GROUP BY r),
+        counts AS (
+            SELECT d.doc_id, len(ws) AS n_words,
+                   length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+                   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dups.n, 0) AS n_dup_lines,
+                   CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS words_removed
+            FROM d LEFT JOIN dups USING (r) LEFT JOIN repeats USING (r) LEFT JOIN gone USING (r))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, words_removed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - words_removed >= 0.3 * n_words AS kept
+        FROM counts""",
     "op6_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
         d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest FROM p),

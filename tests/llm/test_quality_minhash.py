@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from matchloom.llm.components import components
 from matchloom.llm.minhash import BANDS, ROWS, _across, near_duplicates
-from matchloom.llm.quality import frequent_lines, quality_rules, without_lines
+from matchloom.llm.quality import quality_filter, quality_rules
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -39,7 +39,10 @@ def texts(seed, n):
 def test_base_counts_match_brute_force(spark):
     rows = [(i, t, "en", "h", 0) for i, t in enumerate(texts(1, 80))]
     rows += [(500, "w " * 30000 + "v", None, None, None), rows[9]]
-    got = quality_rules(spark.createDataFrame(rows, SCHEMA).withColumn("kept", F.lit(1)).drop("kept")).collect()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name in ("kept", "n_words", "host", "id", "key", "_key", "lines", "text_"):  # clashing columns play no part
+        docs = docs.withColumn(name, F.lit(1))
+    got = quality_rules(docs).collect()
     assert len(got) == len(rows)
     want = {r[0]: base(r[1]) for r in rows}
     for r in got:
@@ -47,6 +50,52 @@ def test_base_counts_match_brute_force(spark):
         assert not (r.base_failed and r.kept)
 
 
+def normal(line):
+    return re.sub(r"[\W_]+", " ", re.sub("[1-9]", "0", line.lower())).strip()
+
+
+def verdicts(rows):
+    """(words_removed, kept, text left) of every row, by brute force."""
+    held, at_host = {}, Counter()
+    for _, t, _, host, _ in rows:
+        lines = {normal(x) for x in (t or "").split("\n")} - {""}
+        at_host[host or ""] += 1
+        for x in lines:
+            held.setdefault((host or "", x), set()).add(frozenset(lines))
+    out = []
+    for i, t, _, host, _ in rows:
+        lines = (t or "").split("\n")
+        often = lambda x: len(held.get((host or "", normal(x)), ())) > max(20, min(0.02 * at_host[host or ""], 200))  # noqa: B023, E731
+        gone, b = sum(len(WORD.findall(x)) for x in lines if often(x)), base(t)
+        left = "\n".join(x for x in lines if not often(x))
+        out.append((i, gone, not b[5] and b[0] - gone >= 0.3 * b[0], left))
+    return out
+
+
+def test_verdicts_match_brute_force_on_a_hot_host(spark):
+    rng = random.Random(5)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600)]
+    often = [" ".join(rng.sample(words, 30)) for _ in range(6)]
+    rows = []
+    for i in range(1500):
+        host = "hot" if i % 3 == 0 else rng.choice(["a", "b", None])
+        lines = [" ".join(rng.sample(words, rng.randrange(1, 40))) for _ in range(rng.randrange(3))]
+        lines += [f"{x}, {rng.randrange(10)}!" for j, x in enumerate(often) if rng.random() < (0.3, 0.1, 0.05, 0.03, 0.02, 0.01)[j]]
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(lines), "en", host, 0))
+    rows += [(5000 + i, rows[0][1], "en", "hot", 0) for i in range(60)] + [(9000 + i, often[5], "en", "hot", 0) for i in range(40)]
+    rows += [rows[3], (9999, None, None, None, None)]
+    docs, want = spark.createDataFrame(rows, SCHEMA), verdicts(rows)
+    got = quality_rules(docs)
+    assert sorted((r.doc_id, r.words_removed, r.kept) for r in got.collect()) == sorted(w[:3] for w in want)
+    assert sum(w[1] > 0 for w in want) > 100 and any(w[1] and not w[2] and not base(r[1])[5] for w, r in zip(want, rows))
+    assert got.where("kept and n_words > 60").count() == sum(w[2] and base(r[1])[0] > 60 for w, r in zip(want, rows))
+    clash = docs.withColumn("row", F.lit(1)).withColumn("_rest", F.lit(2)).withColumn("kept", F.lit(3)).withColumn("a.b", F.lit(4))
+    left = quality_filter(clash)
+    assert left.columns == clash.columns
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted((w[0], w[3]) for w in want if w[2])
+
+
 def test_frequent_lines_deplete_junk_but_not_copies(spark):
     words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600)]
     rng = random.Random(3)
@@ -57,11 +106,10 @@ def test_frequent_lines_deplete_junk_but_not_copies(spark):
         rows.append((i, line + "\n" + " ".join(rng.sample(words, 8)), "en", "host", 0))  # mostly the frequent line
         rows.append((100 + i, " ".join(rng.sample(words, 90)) + "\n" + " ".join(rng.sample(words, 9)), "en", "host", 0))
         rows.append((200 + i, clean, "en", "host", 0))  # copies of a clean text
-    got = quality_rules(spark.createDataFrame(rows, SCHEMA), with_lines=True)
-    kept = {r.doc_id for r in got.where("kept").collect()}
-    assert kept == {100 + i for i in range(60)} | {200 + i for i in range(60)}
-    cut = {r.doc_id: r.text for r in without_lines(got).collect()}
-    assert line not in cut[0] and cut[200] == clean
+        rows.append((300 + i, line + "\n" + " ".join(rng.sample(words, 90)), "en", "host", 0))  # enough is left
+    left = {r.doc_id: r.text for r in quality_filter(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert set(left) == {k + i for k in (100, 200, 300) for i in range(60)}
+    assert line not in left[300] and left[200] == clean
 
 
 def test_lines_shared_by_many_documents_are_frequent_whatever_else_they_share(spark):
@@ -69,14 +117,13 @@ def test_lines_shared_by_many_documents_are_frequent_whatever_else_they_share(sp
     shared, clean = "\n".join(map(line, range(20))), "\n".join(map(line, range(600, 610)))
     rows = [(i, f"{shared}\n{line(100 + i)}", "en", "host", 0) for i in range(100)]
     rows += [(200 + i, clean.upper() + "\n" * (i % 3), "en", "host", 0) for i in range(100)]  # copies
-    docs = spark.createDataFrame(rows, SCHEMA)
-    assert frequent_lines(docs, "text", "source").count() == 20
-    got = {r.doc_id: r.words_removed for r in quality_rules(docs).collect()}
+    got = {r.doc_id: r.words_removed for r in quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {i: 100 for i in range(100)} | {200 + i: 0 for i in range(100)}
 
 
 def test_quality_empty_table(spark):
-    assert quality_rules(spark.createDataFrame([], SCHEMA)).count() == 0
+    empty = spark.createDataFrame([], SCHEMA)
+    assert quality_rules(empty).count() == 0 and quality_filter(empty).count() == 0
 
 
 def jaccard_groups(rows):
