@@ -3,7 +3,8 @@
 Lines within ``tau`` edits are linked; a class is a connected component, and its first
 occurrence (smallest document, then line) is kept.
 
-1. Equal lines collapse to one 64-bit hash; everything below works on distinct lines.
+1. A line is known by a 64-bit hash.  Equal ones of a batch collapse at once; the rest meet under
+   equal keys, where only different hashes are paired, so everything from step 3 on works on distinct lines.
 2. A line of length l is cut into tau + 1 segments, which are indexed by l, place and
    content.  A longer or equal line within tau edits must hold one of them at a place
    that the edits before and after it allow, so it probes only those substrings, for
@@ -11,7 +12,8 @@ occurrence (smallest document, then line) is kept.
    sums give for all substrings of a batch at once.
 3. Entries with equal keys are a bucket.  Index and probe members are paired in small
    buckets; in large ones each meets one hub first, and what then isn't connected yet
-   is paired in a second round, so no link between classes is lost.
+   is paired in a second round, in pairs of blocks, so no link between classes is lost.  A pair is
+   emitted only if the counts of its characters allow the edits.
 4. Pairs are verified with a banded bit-parallel edit distance.
 
 Lines shorter than ``min_chars`` characters are linked by equality only: a few edits
@@ -20,10 +22,12 @@ would turn them into quite other lines.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components
@@ -34,7 +38,9 @@ from .storage import durable, release
 TAU, MIN_CHARS = 2, 25
 #: Index times probe members up to which all pairs of a bucket are compared at once.
 SMALL = 1 << 22
-#: Most line hashes (8 bytes each) that are broadcast.
+#: Members of one side of a large bucket that a task compares with as many of the other at a time.
+BLOCK = 4096
+#: Most line hashes, labels or document ids (16 bytes each at most) that are broadcast.
 FEW = 500_000
 #: Parts into which the copies of one document are dealt.
 SALTS = 256
@@ -83,18 +89,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def segment_keys(lines: list[str], tau: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, is index) of all segments and probes of the lines with at least ``least`` characters."""
+def _points(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Mixed code points of all lines in a row, and the lines' lengths."""
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    return _mix(points + np.uint64(1)), np.fromiter(map(len, lines), np.int64, len(lines))
+
+
+@functools.cache
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """2 ** ``bits`` powers of the base and of its inverse."""
+    both = []
+    for x in (_BASE, _INVERSE):
+        each = np.full(1 << bits, x, np.uint64)
+        each[0] = 1
+        both.append(np.multiply.accumulate(each))
+    return both[0], both[1]
+
+
+def _segments(mixed: np.ndarray, size: np.ndarray, tau: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`segment_keys` of :func:`_points`."""
     start = np.cumsum(size) - size
-    n = len(points)
-    power, inverse = np.full(n + 1, _BASE, np.uint64), np.full(n + 1, _INVERSE, np.uint64)
-    power[0] = inverse[0] = 1
-    np.multiply.accumulate(power, out=power)
-    np.multiply.accumulate(inverse, out=inverse)
+    n = len(mixed)
+    power, inverse = _powers(max(19, n.bit_length()))
     prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(_mix(points + np.uint64(1)) * power[:n], out=prefix[1:])
+    np.cumsum(mixed * power[:n], out=prefix[1:])
     rows, keys, kinds = [], [], []
 
     def put(which: np.ndarray, place: np.ndarray, length: np.ndarray, of: np.ndarray, i: int, index: bool) -> None:
@@ -118,18 +136,27 @@ def segment_keys(lines: list[str], tau: int, least: int) -> tuple[np.ndarray, np
     return np.concatenate(rows), np.concatenate(keys).view(np.int64), np.concatenate(kinds)
 
 
-def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, line, lid, text): every line with a character besides white space, trimmed; lines count from 0."""
-    each = docs.select(F.col(id_col).cast("long").alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("line", "raw"))
+def segment_keys(lines: list[str], tau: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, is index) of all segments and probes of the lines with at least ``least`` characters."""
+    return _segments(*_points(lines), tau, least)
+
+
+def line_rows(docs: DataFrame) -> DataFrame:
+    """(doc, line, lid, text) of (doc, text): every line with a character besides white space, trimmed; lines count from 0."""
+    each = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     return each.select("doc", "line", F.btrim("raw", F.lit(_SPACE)).alias("text")).where("text <> ''").withColumn("lid", F.xxhash64("text"))
 
 
+def _counts(mixed: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """:func:`bags` of :func:`_points`."""
+    lane = ((mixed * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(60)).astype(np.int64)
+    lane += np.repeat(np.arange(0, 16 * len(size), 16), size)
+    return (np.bincount(lane, minlength=16 * len(size)).reshape(-1, 16) & 15).astype(np.uint64)
+
+
 def bags(lines: list[str]) -> np.ndarray:
     """A row of 16 counts (modulo 16) per line, of characters by a hash: an edit moves at most two of them by one."""
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    lane = ((_mix(points + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(60)).astype(np.int64)
-    row = np.repeat(np.arange(len(lines)), np.fromiter(map(len, lines), np.int64, len(lines)))
-    return (np.bincount(row * 16 + lane, minlength=16 * len(lines)).reshape(-1, 16) & 15).astype(np.uint64)
+    return _counts(*_points(lines))
 
 
 def _packed(counts: np.ndarray) -> np.ndarray:
@@ -141,40 +168,51 @@ def _lanes(bag: np.ndarray) -> np.ndarray:
 
 
 def _entries(lines: DataFrame, tau: int, least: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf.drop_duplicates("lid")
-            lid = pdf["lid"].to_numpy()
-            ends = np.cumsum(pdf["text"].str.len().to_numpy()) // 400_000
+    """(key, lid, bag) of all segments and probes; the key's lowest bit marks segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lid = batch.column("lid").to_numpy()
+            one = np.sort(np.unique(lid, return_index=True)[1])
+            lid, texts = lid[one], batch.column("text").take(pa.array(one)).to_pylist()
+            ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) // 400_000
             for part in np.unique(ends):
-                at = np.flatnonzero(ends == part)
-                some = pdf["text"].iloc[at].tolist()
-                row, key, index = segment_keys(some, tau, least)
-                yield pd.DataFrame({"key": key, "lid": lid[at][row], "is_index": index, "bag": _packed(bags(some))[row]})
+                i, j = np.searchsorted(ends, [part, part + 1])
+                points = _points(texts[i:j])
+                row, key, index = _segments(*points, tau, least)
+                arrays = [key & -2 | index, lid[i:j][row], _packed(_counts(*points))[row]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key", "lid", "bag"])
 
     long = lines.where(F.length("text") >= least).select("lid", "text")
-    return long.mapInPandas(run, "key long, lid long, is_index boolean, bag long")
+    return long.mapInArrow(run, "key long, lid long, bag long")
 
 
-def _pairs_in(lid: np.ndarray, index: np.ndarray, bag: np.ndarray, tau: int) -> list[tuple[int, int]]:
-    """Index and probe members whose character bags allow ``tau`` edits, block by block."""
+def _pairs_in(
+    lid: np.ndarray, index: np.ndarray, bag: np.ndarray, tau: int, comp: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Index and probe members whose character bags allow ``tau`` edits, block by block; with ``comp`` only across components."""
     left, at = np.unique(lid[index], return_index=True)
-    a = _lanes(bag[index][at])
+    a, ca = _lanes(bag[index][at]), None if comp is None else comp[index][at]
     right, at = np.unique(lid[~index], return_index=True)
-    b = _lanes(bag[~index][at])
-    out = []
+    b, cb = _lanes(bag[~index][at]), None if comp is None else comp[~index][at]
+    out = [(left[:0], right[:0])]
     for i in range(0, len(left), 64):
         for j in range(0, len(right), 2048):
             apart = np.abs(a[i : i + 64, None] - b[None, j : j + 2048])
             near = np.minimum(apart, 16 - apart).sum(axis=2) <= 2 * tau
             near &= left[i : i + 64, None] != right[None, j : j + 2048]
+            if comp is not None:
+                near &= ca[i : i + 64, None] != cb[None, j : j + 2048]
             x, y = np.nonzero(near)
-            out += zip(left[i + x].tolist(), right[j + y].tolist(), strict=True)
-    return out
+            out.append((left[i + x], right[j + y]))
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+_FOUND = {"a": np.int64, "b": np.int64, "key": np.int64, "lid": np.int64, "is_index": bool, "bag": np.int64}
 
 
 class _Buckets:
-    """Runs of equal keys in sorted rows: candidate pairs (a, b), and all members of large runs (key, lid, is_index).
+    """Runs of equal keys in sorted rows: candidate pairs (a, b), and all members of large runs (key, lid, is_index, bag).
 
     Holds the current batch and, of a run that crosses batches, either its rows (up to ``SMALL`` pairs) or, once
     it is large, only its two hubs, which its further members meet.
@@ -183,32 +221,35 @@ class _Buckets:
     def __init__(self, tau: int):
         self.tau = tau
         self.key: int | None = None
-        self.hubs: list[int | None] | None = None
+        self.hubs: list[tuple[int, int] | None] | None = None
+        self.left = [np.empty(0, np.int64)] * 3
 
-    def large(self, key: int, lid: np.ndarray, index: np.ndarray) -> tuple[list, list]:
+    def large(self, key: int, lid: np.ndarray, index: np.ndarray, bag: np.ndarray) -> list[tuple]:
+        """The pairs of these members with the hubs of the run."""
         if self.hubs is None:
             self.hubs = [None, None]
-        for side, mine in enumerate((lid[index], lid[~index])):
-            if self.hubs[side] is None and len(mine):
-                self.hubs[side] = int(mine.min())
-        pairs = [(self.hubs[0], int(y)) for y in np.unique(lid[~index]) if self.hubs[0] not in (None, int(y))]
-        pairs += [(int(x), self.hubs[1]) for x in np.unique(lid[index]) if self.hubs[1] not in (None, int(x))]
-        return pairs, list(zip([key] * len(lid), lid.tolist(), index.tolist(), strict=True))
-
-    def run(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["key", "lid", "is_index", "bag"]
-        rest = [np.empty(0, t) for t in (np.int64, np.int64, bool, np.int64)]
-        for pdf in batches:
-            rows = [np.concatenate((r, pdf[n].to_numpy(r.dtype))) for r, n in zip(rest, names, strict=True)]
-            yield self.step(rows, False)
-            rest = self.left
-        yield self.step(rest, True)
-
-    def step(self, rows: list[np.ndarray], last: bool) -> pd.DataFrame:
-        key, lid, index, bag = rows
+        out = []
+        for side, mine in enumerate((index, ~index)):
+            if self.hubs[side] is None and mine.any():
+                i = np.flatnonzero(mine)[lid[mine].argmin()]
+                self.hubs[side] = (int(lid[i]), int(bag[i]))
+        for side, mine in enumerate((index, ~index)):
+            if (hub := self.hubs[1 - side]) is not None:
+                sides = np.append(mine[mine], False) if side == 0 else np.append(~mine[mine], True)
+                out.append(_pairs_in(np.append(lid[mine], hub[0]), sides, np.append(bag[mine], hub[1]), self.tau))
+        return out
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield self.step([np.concatenate((r, batch.column(n).to_numpy())) for r, n in zip(self.left, ("key", "lid", "bag"), strict=True)], False)
+        yield self.step(self.left, True)
+
+    def step(self, rows: list[np.ndarray], last: bool) -> pa.RecordBatch:
+        key, lid, bag = rows
         pairs, members = [], []
         self.left = [r[:0] for r in rows]
         if len(key):
+            index, key = (key & 1).astype(bool), key >> 1
             cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             ends = np.r_[cuts[1:], len(key)]
             lo, hi = np.minimum.reduceat(lid, cuts), np.maximum.reduceat(lid, cuts)
@@ -219,49 +260,49 @@ class _Buckets:
                 at = slice(cuts[i], ends[i])
                 n = int(index[at].sum())
                 open_ = i == len(cuts) - 1 and not last
-                if self.hubs is not None and i == 0 or n * (ends[i] - cuts[i] - n) > SMALL:
-                    p, m = self.large(int(key[at][0]), lid[at], index[at])
-                    pairs, members = pairs + p, members + m
-                elif open_ and n < 2048 and len(key[at]) < 4096:
+                many = self.hubs is not None and i == 0 or n * (ends[i] - cuts[i] - n) > SMALL
+                if open_ and not many and n < 2048 and ends[i] - cuts[i] < 4096:
                     self.left = [r[at] for r in rows]
-                elif open_:  # one side only, so far, but long
-                    p, m = self.large(int(key[at][0]), lid[at], index[at])
-                    pairs, members = pairs + p, members + m
+                elif many or open_:  # open: one side only, so far, but long
+                    pairs += self.large(int(key[at][0]), lid[at], index[at], bag[at])
+                    members.append((key[at], lid[at], index[at], bag[at]))
                 elif lo[i] != hi[i]:
-                    pairs += _pairs_in(lid[at], index[at], bag[at], self.tau)
+                    pairs.append(_pairs_in(lid[at], index[at], bag[at], self.tau))
                 if open_:
                     self.key = int(key[at][0])
                 else:
                     self.key, self.hubs = None, None
-        a = pd.array([p[0] for p in pairs] + [None] * len(members), "Int64")
-        b = pd.array([p[1] for p in pairs] + [None] * len(members), "Int64")
-        none = [None] * len(pairs)
-        return pd.DataFrame(
-            {
-                "a": a, "b": b, "key": pd.array(none + [m[0] for m in members], "Int64"),
-                "lid": pd.array(none + [m[1] for m in members], "Int64"), "is_index": pd.array(none + [m[2] for m in members], "boolean"),
-            }
-        )
+        n, m = sum(len(x) for x, _ in pairs), sum(len(x) for x, *_ in members)
+        out = []
+        for at, (name, kind) in enumerate(_FOUND.items()):
+            parts = [p[at] for p in pairs] if at < 2 else [x[at - 2] for x in members]
+            known = pa.array(np.concatenate([np.empty(0, kind), *parts]).astype(kind))
+            none = pa.nulls(m if at < 2 else n, known.type)
+            out.append(pa.concat_arrays([known, none] if at < 2 else [none, known]))
+        return pa.RecordBatch.from_arrays(out, names=list(_FOUND))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, tau: int) -> DataFrame:
-    """The pairs (a, b) of distinct lines that are within ``tau`` edits."""
+def _verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, tau: int) -> DataFrame:
+    """The pairs (a, b) of distinct lines that are within ``tau`` edits; texts come from the documents that hold them."""
 
     @F.pandas_udf("boolean")
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([within(p, q, tau) for p, q in zip(x, y, strict=True)], dtype=bool)
 
-    ends = pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct()
-    # Few ends, by count, go to the lines; else lines and ends meet by hash.
-    ends = durable(ends, "ends")
-    few = ends.count() <= FEW
-    texts = lines.select("lid", "text").join(F.broadcast(ends) if few else ends, "lid", "left_semi").dropDuplicates(["lid"])
+    ends = durable(pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct(), "ends")
+    # Few ends and documents, by count, go to the lines and texts; else they meet by hash.
+    ends = F.broadcast(ends) if ends.count() <= FEW else ends
+    held = durable(places.select("lid", "doc").join(ends, "lid").groupBy("lid").agg(F.min("doc").alias("doc")), "held")
+    mine = held.select("doc").distinct()
+    mine = F.broadcast(mine) if held.count() <= FEW else mine
+    texts = line_rows(docs.join(mine.where("doc is not null"), "doc", "left_semi")).unionByName(line_rows(docs.where("doc is null")))
+    texts = texts.select("lid", "text").join(ends, "lid", "left_semi").dropDuplicates(["lid"])
     texts = durable(texts, "texts")
     full = pairs.join(texts.select(F.col("lid").alias("a"), F.col("text").alias("x")), "a").join(
         texts.select(F.col("lid").alias("b"), F.col("text").alias("y")), "b"
     )
     out = durable(full.where(near("x", "y")).select("a", "b"), "links")
-    release(texts, ends)
+    release(texts, held)
     return out
 
 
@@ -269,47 +310,68 @@ def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def line_links(lines: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Links (a, b) between distinct lines that span the same classes as all links within ``tau`` edits."""
-    least = max(min_chars, tau + 1)
-    entries = _entries(lines, tau, least)
-    found = durable(
-        entries.repartition("key").sortWithinPartitions("key").mapInPandas(
-            lambda batches: _Buckets(tau).run(batches), "a long, b long, key long, lid long, is_index boolean"
-        ),
-        "pairs",
+def _across(members: DataFrame, tau: int) -> DataFrame:
+    """Candidate pairs (a, b) between components of large buckets: (key, lid, is_index, bag, comp), in pairs of blocks.
+
+    A member visits every block of the other side, so no task holds more than two blocks whatever a bucket holds.
+    """
+    side = lambda c: F.greatest(F.ceil(F.sum(c.cast("int")) / BLOCK), F.lit(1)).cast("int")
+    keys = members.groupBy("key").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), side(F.col("is_index")).alias("ni"), side(~F.col("is_index")).alias("nj")
     )
+    dealt = members.join(keys.where("lo < hi").select("key", "ni", "nj"), "key")
+    own, other = F.when(F.col("is_index"), F.col("ni")).otherwise(F.col("nj")), F.when(F.col("is_index"), F.col("nj")).otherwise(F.col("ni"))
+    dealt = dealt.withColumns({"own": F.pmod(F.xxhash64("lid"), own).cast("int"), "other": F.explode(F.sequence(F.lit(0), other - 1))})
+    i, j = (F.when(c, F.col("own")).otherwise(F.col("other")) for c in (F.col("is_index"), ~F.col("is_index")))
+
+    def pairs(g: pd.DataFrame) -> pd.DataFrame:
+        a, b = _pairs_in(*(g[c].to_numpy() for c in ("lid", "is_index", "bag")), tau, g["comp"].to_numpy())
+        return pd.DataFrame({"a": a, "b": b})
+
+    dealt = dealt.select("key", i.alias("i"), j.alias("j"), "lid", "is_index", "bag", "comp")
+    return dealt.groupBy("key", "i", "j").applyInPandas(pairs, "a long, b long").select(*_ordered(F.col("a"), F.col("b"))).distinct()
+
+
+def line_links(docs: DataFrame, places: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Links (a, b) between distinct lines that span the same classes as all links within ``tau`` edits.
+
+    ``docs`` has (doc, text), and ``places`` the (doc, lid) of its lines.
+    """
+    least = max(min_chars, tau + 1)
+    entries = _entries(line_rows(docs), tau, least)
+    schema = "a long, b long, key long, lid long, is_index boolean, bag long"
+    found = durable(entries.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(lambda x: _Buckets(tau).run(x), schema), "pairs")
     first = found.where("key is null").select(*_ordered(F.col("a"), F.col("b"))).distinct()
-    first = _verified(first, lines, tau)
-    members = found.where("key is not null").select("key", "lid", "is_index").distinct()
+    first = _verified(first, docs, places, tau)
+    members = found.where("key is not null").select("key", "lid", "is_index", "bag").distinct()
     if members.isEmpty():
         return first
     label = components(first).withColumnRenamed("node", "lid")
-    members = durable(
-        members.join(label, "lid", "left").select("key", "lid", "is_index", F.coalesce("component", "lid").alias("comp")), "members"
+    members = members.join(label, "lid", "left").select("key", "lid", "is_index", "bag", F.coalesce("component", "lid").alias("comp"))
+    members = durable(members, "members")
+    return first.unionByName(_verified(durable(_across(members, tau), "across"), docs, places, tau))
+
+
+def _places(docs: DataFrame, id_col: str, text_col: str, tau: int, min_chars: int) -> DataFrame:
+    """(doc, line, lid, size, class, first, kept) of every line with a word; first: (doc, line) of its class."""
+    rows = docs.select(_column(id_col).cast("long").alias("doc"), _column(text_col).alias("text"))
+    places = durable(line_rows(rows).select("doc", "line", "lid", F.length("text").alias("size")), "places")
+    label = components(line_links(rows, places, tau, min_chars)).withColumnRenamed("node", "lid")
+    few = label.count() <= FEW
+    named = places.join(F.broadcast(label) if few else label, "lid", "left").select(
+        "doc", "line", "lid", "size", F.coalesce("component", "lid").alias("class")
     )
-    left = members.where("is_index").select("key", F.col("lid").alias("x"), F.col("comp").alias("cx"))
-    right = members.where("not is_index").select("key", F.col("lid").alias("y"), F.col("comp").alias("cy"))
-    across = left.join(right, "key").where("cx <> cy").select(*_ordered(F.col("x"), F.col("y"))).distinct()
-    return first.unionByName(_verified(across, lines, tau))
-
-
-def _places(docs: DataFrame, id_col: str, text_col: str, tau: int, min_chars: int, sized: bool = False) -> DataFrame:
-    """(doc, line, lid, first) of every line with a word, with ``sized`` its characters too; first: (doc, line) of its class."""
-    lines = line_rows(docs, id_col, text_col)
-    label = components(line_links(lines, tau, min_chars)).withColumnRenamed("node", "lid")
-    size = [F.length("text").alias("size")] if sized else []
-    places = durable(
-        lines.select("doc", "line", "lid", *size).join(label, "lid", "left")
-        .select("doc", "line", "lid", F.coalesce("component", "lid").alias("class"), *(["size"] if sized else [])),
-        "places",
-    )
-    first = places.groupBy("class").agg(F.min(F.struct("doc", "line")).alias("first"))
-    return places.join(first, "class").withColumn(
+    named = named if few else durable(named, "named")
+    first = named.groupBy("class").agg(F.min(F.struct("doc", "line")).alias("first"))
+    return named.join(first, "class").withColumn(
         "kept", F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("line") == F.col("first.line"))
     )
 
 
+def _column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def line_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS
 ) -> DataFrame:
@@ -369,7 +431,7 @@ def without_repeats(
     that has most of them; they stay if the two, as they are left then, reach the ``threshold`` of that step on their
     ``k``-word shingles.  In all other documents every repeat is cut.  Rows, columns and other lines stay as they are.
     """
-    gone = _places(docs, id_col, text_col, tau, min_chars, sized=True).where("not kept")
+    gone = _places(docs, id_col, text_col, tau, min_chars).where("not kept")
     gone = gone.groupBy("doc", F.col("first.doc").alias("of")).agg(
         F.collect_set(F.struct("line", "lid")).alias("part"), F.sum("size").alias("n")
     )

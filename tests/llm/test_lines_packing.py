@@ -88,10 +88,26 @@ def brute_classes(rows):
 def test_line_classes_match_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(lines, "SMALL", small)
     monkeypatch.setattr(lines, "FEW", 10 if small == 1 else 500_000)
+    monkeypatch.setattr(lines, "BLOCK", 3 if small == 1 else 4096)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", small != 1)
     rows = line_rows(5)
     got = line_classes(spark.createDataFrame([(i, t, "s", 9) for i, t in rows], SCHEMA)).collect()
     assert {(r.doc_id, r.line): (r.class_doc, r.class_line) for r in got} == brute_classes(rows)
     assert all(r.kept == ((r.doc_id, r.line) == (r.class_doc, r.class_line)) for r in got)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_many_lines_with_one_beginning(spark):
+    """20,000 lines share their first segment; every tenth has a copy with one edit."""
+    rng = random.Random(4)
+    tail = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(24))
+    base = ["the same twelve " + tail() for _ in range(20_000)]
+    rows = [(i, "\n".join(base[i : i + 100]), None, 0) for i in range(0, 20_000, 100)]
+    rows += [(100_000 + i, base[i][:-1] + "#", None, 0) for i in range(0, 20_000, 10)]
+    rows += [(200_000, "x" * 3_000_000, None, 0), (200_001, "x" * 2_999_999 + "y", None, 0)]  # very long lines
+    got = {(r.doc_id, r.line): (r.class_doc, r.class_line) for r in line_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = {(100_000 + i, 0): (i - i % 100, i % 100) for i in range(0, 20_000, 10)} | {(200_001, 0): (200_000, 0)}
+    assert len(got) == 22_002 and {k: v for k, v in got.items() if k != v} == want
 
 
 def test_repeats_go_and_copies_stay(spark):
