@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from matchloom.llm.lines import without_repeats
 from matchloom.llm.minhash import near_duplicates
 from matchloom.llm.packing import pack, tokenized_pieces
-from matchloom.llm.quality import quality_rules, without_lines
+from matchloom.llm.quality import quality_filter
 from matchloom.llm.storage import durable
 
 
@@ -23,8 +23,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without their too frequent lines."""
-    kept = quality_rules(docs, with_lines=True).where("kept")
-    return _counted(without_lines(kept)).select(*docs.columns)
+    return _counted(quality_filter(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
