@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .storage import durable
 
@@ -90,8 +90,9 @@ def tokenized_pieces(
 ) -> DataFrame:
     """(id, piece, start, length, ids): each document's ids and the end id, cut only where longer than ``size``.
 
-    The first piece of a long document is the shorter one.  ids: little-endian unsigned 32-bit.
-    A null text counts as empty: it is one piece that holds the end id.
+    The first piece of a long document is the shorter one.  ids: little-endian unsigned 32-bit.  Defined cases: a null
+    text counts as empty, one piece that holds the end id; a null id stays null; repeated rows have
+    their pieces each; an empty table has none; other columns play no part, whatever their names.
     """
     end = np.array([end_id], "<u4").tobytes()
 
@@ -112,7 +113,7 @@ def tokenized_pieces(
                 out = pd.DataFrame(rows, columns=["doc", "piece", "start", "length", "ids"])
                 yield out.assign(doc=pd.array(out["doc"], "Int64"))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    rows = docs.select(_column(id_col).cast("long").alias("doc"), _column(text_col).alias("text"))
     made = rows.mapInPandas(run, "doc long, piece int, start long, length long, ids binary")
     return made.withColumnRenamed("doc", id_col)
 
@@ -279,29 +280,35 @@ def pack(pieces: DataFrame, size: int = 1024, order: tuple[str, ...] = ("doc_id"
 
     Every sequence holds at most ``size`` and has no gaps.  ``order`` numbers the pieces of
     a length; equal rows are interchangeable.  The rows are written once to the shared
-    folder, as the plan and the numbering both read them.  An empty table stays empty.
+    folder, as the plan and the numbering both read them.  An empty table stays empty; columns
+    that are named sequence_id or offset are replaced.
     """
-    columns = pieces.columns
-    rows = durable(pieces, "pieces")
-    counts = {r[length_col]: r["n"] for r in rows.groupBy(length_col).agg(F.count("*").alias("n")).collect()}
+    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    rows = durable(pieces.select(*[_column(c) for c in columns]), "pieces")
+    counts = {r[0]: r[1] for r in rows.groupBy(_column(length_col).alias("length")).agg(F.count("*").alias("n")).collect()}
     made = plan(counts, size)
     # Numbers within a length: in runs of bounded size, spread by hash, with the runs' totals before each.
     split = 1 + max(counts.values(), default=0) // RUN
-    salt = F.pmod(F.xxhash64(*order), F.lit(split)).cast("int")
-    salted = rows.withColumn("_salt", salt)
-    totals = salted.groupBy(length_col, "_salt").agg(F.count("*").alias("n"))
-    before = Window.partitionBy(length_col).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(length_col, "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy(length_col, "_salt").orderBy(*order)
-    ranked = salted.withColumn("_rank", F.row_number().over(within) - 1).join(bases, [length_col, "_salt"])
+    salted = rows.select(
+        F.struct(*[_column(c) for c in columns]).alias("row"), _column(length_col).alias("length"), F.struct(*[_column(c) for c in order]).alias("order")
+    ).withColumn("salt", F.pmod(F.xxhash64("order"), F.lit(split)).cast("int"))
+    totals = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("length", "salt").orderBy("order")
+    ranked = salted.withColumn("rank", F.row_number().over(within) - 1).drop("order").join(bases, ["length", "salt"])
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         sequence, offset = made.places(length.to_numpy(np.int64), rank.to_numpy(np.int64))
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    placed = ranked.withColumn("_at", place(F.col(length_col), F.col("_rank") + F.col("_base")))
-    return placed.select(*columns, "_at.sequence_id", "_at.offset")
+    placed = ranked.select("row", place(F.col("length"), F.col("rank") + F.col("base")).alias("at"))
+    return placed.select(*[F.col("row")[c].alias(c) for c in columns], "at.sequence_id", "at.offset")
+
+
+def _column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def sequences(placed: DataFrame) -> DataFrame:
