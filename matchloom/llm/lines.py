@@ -392,26 +392,23 @@ def line_classes(
     )
 
 
-def _near_copies(cut: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """(_c, _h) of the rows of ``cut`` whose ``_part`` has the similarity to the text of document ``_of``, on full shingle sets."""
+def _near_copies(cut: DataFrame, k: int, percent: int) -> DataFrame:
+    """(c, h) of the rows of ``cut`` whose ``part`` has the similarity to the text of document ``of``, on full shingle sets."""
 
     @F.pandas_udf("boolean")
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
         sets = ((shingles(words(p), k), shingles(words(q), k)) for p, q in zip(x, y, strict=True))
         return pd.Series([len(a) > 0 and len(b) > 0 and _similar(a, b, percent) for a, b in sets], dtype=bool)
 
-    asked = cut.where("_part is not null and _of is not null").select(
-        F.col(id_col).cast("long").alias("_c"), _row(text_col).alias("_h"), "_of", F.col("_part").alias("x")
+    asked = cut.where("part is not null and of is not null and id is not null").select(
+        F.col("id").alias("c"), F.xxhash64("text", "part").alias("h"), "of", F.col("part").alias("x")
     )
-    asked = asked.where("_c is not null").withColumn("salt", F.pmod("_h", F.lit(SALTS)))
-    # A document with many copies goes to those parts of them that occur.
-    wanted = asked.select("_of", "salt").distinct()
-    texts = cut.select(F.col(id_col).cast("long").alias("_of"), F.col(text_col).alias("y")).join(wanted, "_of")
-    return asked.join(texts, ["_of", "salt"]).where(near("x", "y")).select("_c", "_h").distinct()
-
-
-def _row(text_col: str) -> Column:
-    return F.xxhash64(F.col(text_col), F.col("_part"))
+    asked = asked.withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    # A document with many copies goes to those parts of them that occur; few, by count, go to the texts.
+    wanted = durable(asked.select("of", "salt").distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+    texts = cut.select(F.col("id").alias("of"), F.col("text").alias("y")).join(wanted, "of")
+    return asked.join(texts, ["of", "salt"]).where(near("x", "y")).select("c", "h").distinct()
 
 
 def without_repeats(
@@ -430,32 +427,38 @@ def without_repeats(
     document-level step.  Of its repeats those are put back whose first occurrences the one other document holds
     that has most of them; they stay if the two, as they are left then, reach the ``threshold`` of that step on their
     ``k``-word shingles.  In all other documents every repeat is cut.  Rows, columns and other lines stay as they are.
+
+    Defined cases: null, empty and blank texts stay; a null id comes before all others, and its rows are no near
+    copies; rows that share an id but not a text are told apart by their lines; repeated rows stay repeated; an
+    empty table gives an empty result; other columns stay, whatever their names.
     """
+    # A line within a document: half of its hash, then its place.
+    spot = lambda lid, line: lid.bitwiseAND(-(1 << 32)).bitwiseOR(line.cast("long"))
     gone = _places(docs, id_col, text_col, tau, min_chars).where("not kept")
     gone = gone.groupBy("doc", F.col("first.doc").alias("of")).agg(
-        F.collect_set(F.struct("line", "lid")).alias("part"), F.sum("size").alias("n")
+        F.collect_set(spot(F.col("lid"), F.col("line"))).alias("spots"), F.sum("size").alias("n")
     )
-    other = F.when(F.col("of") != F.col("doc"), F.struct("n", "of"))
-    gone = gone.groupBy("doc").agg(F.collect_list(F.struct("of", "part")).alias("_by"), F.max(other)["of"].alias("_of"))
+    other = F.when(~F.col("of").eqNullSafe(F.col("doc")), F.struct("n", "of"))
+    gone = gone.groupBy("doc").agg(F.collect_list(F.struct("of", "spots")).alias("by"), F.max(other)["of"].alias("of"))
     gone = gone.select(
-        "doc", "_of", F.flatten(F.col("_by.part")).alias("_gone"),
-        F.flatten(F.transform(F.filter("_by", lambda b: ~b["of"].eqNullSafe(F.col("_of"))), lambda b: b["part"])).alias("_others"),
+        "doc", "of", F.flatten(F.col("by.spots")).alias("gone"),
+        F.flatten(F.transform(F.filter("by", lambda b: ~b["of"].eqNullSafe(F.col("of"))), lambda b: b["spots"])).alias("others"),
     )
-    trimmed = lambda x: F.btrim(x, F.lit(_SPACE))
+    rest = F.struct(*[_column(c).alias(c) for c in docs.columns if c != text_col])
+    rows = docs.select(rest.alias("row"), _column(id_col).cast("long").alias("id"), _column(text_col).alias("text"))
+    cut = rows.join(gone, rows["id"].eqNullSafe(gone["doc"]), "left").drop("doc")
+    cut = cut.withColumn("lines", F.when(F.col("gone").isNotNull(), F.split("text", "\n")))
+    cut = cut.withColumn("spots", F.transform("lines", lambda x, i: spot(F.xxhash64(F.btrim(x, F.lit(_SPACE))), i)))
     without = lambda name: F.array_join(
-        F.filter(
-            F.split(text_col, "\n"), lambda x, i: ~F.array_contains(name, F.struct(i.alias("line"), F.xxhash64(trimmed(x)).alias("lid")))
-        ),
-        "\n",
-    )
-    cut = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["doc"]), "left").withColumn(
-        "_rest", F.when(F.col("_gone").isNotNull(), without("_gone"))
+        F.transform(F.array_except("spots", name), lambda x: F.get("lines", x.bitwiseAND((1 << 32) - 1).cast("int"))), "\n"
     )
-    short = F.length("_rest") < (1 - spare) * F.length(text_col)
-    cut = cut.withColumn("_part", F.when(short, without("_others"))).withColumn(text_col, F.coalesce("_rest", text_col))
-    cut = durable(cut.select(*docs.columns, "_of", "_part"), "cut")
-    copies = durable(_near_copies(cut, id_col, text_col, k, round(threshold * 100)), "copies")
-    asked = cut.where("_part is not null").withColumn("_h", _row(text_col))
-    asked = asked.join(copies, (asked[id_col].cast("long") == copies["_c"]) & (asked["_h"] == copies["_h"]), "left")
-    asked = asked.withColumn(text_col, F.when(F.col("_c").isNotNull(), F.col("_part")).otherwise(F.col(text_col)))
-    return cut.where("_part is null").select(*docs.columns).unionByName(asked.select(*docs.columns))
+    cut = cut.withColumn("left", F.when(F.col("gone").isNotNull(), without("gone")))
+    short = F.length("left") < (1 - spare) * F.length("text")
+    cut = cut.select("row", "id", F.coalesce("left", "text").alias("text"), "of", F.when(short, without("others")).alias("part"))
+    cut = durable(cut, "cut")
+    copies = durable(_near_copies(cut, k, round(threshold * 100)), "copies")
+    asked = cut.where("part is not null").withColumn("h", F.xxhash64("text", "part"))
+    asked = asked.join(copies, (asked["id"] == copies["c"]) & (asked["h"] == copies["h"]), "left")
+    asked = asked.withColumn("text", F.when(F.col("c").isNotNull(), F.col("part")).otherwise(F.col("text")))
+    whole = cut.where("part is null").select("row", "text").unionByName(asked.select("row", "text"))
+    return whole.select(*[(F.col("text") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -174,6 +174,7 @@ def test_packed_pieces_round_trip(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     size = 64
     pieces = tokenized_pieces(docs, P.path("byte_bpe_50k.json"), 2, size)
+    pieces = pieces.withColumn("sequence_id", F.lit(1)).withColumn("base", F.lit(2)).withColumn("row", F.lit(3))  # clash
     placed = pack(pieces, size).cache()
     encode = TextEncoder(P.path("byte_bpe_50k.json"))
     want = {}

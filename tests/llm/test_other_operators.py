@@ -3,10 +3,12 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 import public_tokenizers as P
 from pyspark.sql import functions as F
 
 from matchloom.llm import ann, chat, sharding, urls, warc
+from matchloom.llm.queries import QUERIES
 from matchloom.llm.storage import new_path
 
 TOKENIZER = P.path("byte_bpe_50k.json")
@@ -166,6 +168,51 @@ def test_nearest_neighbours(spark, monkeypatch):
     assert ann.nearest(vectors.limit(0), asked, 10).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_of_the_registered_query(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").where("embedding is not null").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    got = {}
+    for r in QUERIES["op7_approximate_nearest_neighbours"](spark, folder).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(got) == set(ids[ids % 100 == 0].tolist())
+    hits = 0
+    for q, found in got.items():
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
+        order = [int(ids[i]) for i in np.lexsort((ids, d)) if ids[i] != q][:10]
+        found.sort()
+        assert [r for r, _, _ in found] == list(range(1, 11)) and found == sorted(found, key=lambda f: (f[2], f[1]))
+        assert all(abs(d[ids == i][0] - s) < 1e-9 for _, i, s in found)
+        hits += len(set(order) & {i for _, i, _ in found})
+    assert hits >= 0.95 * 10 * len(got)
+
+
+def test_hashes_lengthen_with_the_table():
+    sizes = [np.prod([2 * a for a in ann.axes(n, 64)]) for n in (1, 1000, 10_000, 10**6, 10**9)]
+    assert sizes == sorted(sizes) and sizes[0] < sizes[2] == 8192 < sizes[3] < sizes[4]
+    x = ann.unit(np.random.default_rng(1).normal(size=(20, 50)))
+    for n in (1, 300, 10**5, 10**8):  # the combination that loses least is the row's own
+        each = ann.axes(n, x.shape[1])
+        first, rest = ann.probes(x, 3, each, 64)
+        own = ann.hashes(x, 3, each)
+        assert (first[:, 0] == own[0]).all() and (rest[:, 0] == own[1]).all()
+        assert all(len(set(zip(a, b))) == len(a) for a, b in zip(first.tolist(), rest.tolist()))
+
+
+def test_few_rows_are_found_whatever_the_probes(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PROBES", 1)
+    monkeypatch.setattr(ann, "TABLES", 1)
+    x = np.random.default_rng(2).normal(size=(40, 32))
+    vectors = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, gid int")
+    got = ann.nearest(vectors, vectors.where("vec_id < 5").select("vec_id"), 10).collect()
+    assert len(got) == 50
+    y = x.astype(np.float32).astype(float)
+    for r in got:
+        d = np.sqrt(((y - y[r.query_id]) ** 2).sum(axis=1))
+        assert [i for i in np.lexsort((np.arange(40), d)) if i != r.query_id][r.rank - 1] == r.vec_id
+
+
 def test_pipeline_on_a_small_corpus(spark, tmp_path):
     import corpus_pipeline
 
@@ -192,3 +239,27 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     placed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert {r.doc_id for r in placed} == set(after["minhash_near_dedup"])
     assert all(0 <= r.offset and r.offset + r.length <= 1024 for r in placed)
+
+
+def test_pipeline_stages_take_any_columns_and_empty_tables(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    words = ["w" + "".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(3000)]
+    long, other = (" ".join(rng.sample(words, n)) for n in (3000, 300))
+    rows = [(1, long * 20, "en", "a", 1), (2, other, None, None, None), (2, other, None, None, None), (3, other, "en", "a", 3), (None, other, "en", "a", 3)]
+    rows += [(None, None, None, None, None), (5, "", "en", "a", 0), (6, other + "\n" + " ".join(rng.sample(words, 120)), "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("row", "key", "id", "doc", "of", "part", "lines", "line", "kept", "h", "c", "length", "sequence_id", "a.b", "component_id"):
+        docs = docs.withColumn(name, F.lit(7))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        left[name] = sorted((r.doc_id or 0, r.text or "") for r in out.collect())
+    assert [x for x, _ in left["quality_rules"]] == [0, 2, 2, 3, 6]  # the long text repeats its windows
+    assert [x for x, _ in left["line_dedup"]] == sorted(r[0] or 0 for r in rows)
+    assert [x for x, _ in left["minhash_near_dedup"]] == [0, 0, 1, 2, 5, 6]
+    assert len(corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()) > len(rows)
