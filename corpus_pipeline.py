@@ -7,7 +7,7 @@ columns of ``documents``; ``n_chars`` follows the text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from matchloom.llm.lines import without_repeats
 from matchloom.llm.minhash import near_duplicates
@@ -22,23 +22,45 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, without their too frequent lines."""
+    """Documents that the quality rules keep, without their too frequent lines.
+
+    A null, empty or short text fails the base rules and goes; a null source is a source of its own; repeated rows stay
+    repeated; an empty table stays empty; other columns stay.
+    """
     return _counted(quality_filter(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; of near-equal lines the first stays, and copies of documents stay whole."""
+    """All documents; of near-equal lines the first stays, and near copies of one document keep theirs.
+
+    Null, empty and blank texts stay as they are; a null id comes first; of rows that share an id the first lines of a class
+    stay alike; an empty table stays empty; other columns stay.
+    """
     return _counted(without_repeats(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each near-duplicate group, that with the smallest id.
+
+    Texts without words stay; of repeated rows (equal id and text) one stays; rows with one id and different texts count as
+    one document, and so do all rows with a null id, which stay if the words of one of them are in no row
+    with an id; an empty table stays empty; other columns stay.
+    """
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id")).distinct().withColumn("key", F.xxhash64("id"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("key", F.xxhash64("row.doc_id"))
+    left = rows.join(kept, (rows["key"] == kept["key"]) & F.col("row.doc_id").eqNullSafe(kept["id"]), "left_semi")
+    # Rows are dealt by the key already; repeated ones are neighbours.
+    again = F.row_number().over(Window.partitionBy("key", "row.doc_id", "row.text").orderBy("key"))
+    left = left.withColumn("again", again).where("again = 1")
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of the documents' pieces in sequences of at most 1024 tokens."""
+    """Places of the documents' pieces in sequences of at most 1024 tokens.
+
+    A null or empty text is one piece that holds the end id; repeated rows have their pieces each; an empty table has
+    none; other columns play no part.
+    """
     import public_tokenizers
 
     pieces = tokenized_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, size=1024)
