@@ -35,6 +35,7 @@ def _single(kernel):
 
 
 jaro_winkler = _pairwise(kernels.jaro_winkler, T.DoubleType())
+jaro_winkler_shown = _pairwise(lambda a, b: f"{kernels.jaro_winkler(a, b):.2f}", T.StringType())
 indel_ratio = _pairwise(kernels.indel, T.DoubleType())
 token_sort_ratio = _pairwise(kernels.token_sort, T.DoubleType())
 partial_ratio = _pairwise(kernels.partial, T.DoubleType())

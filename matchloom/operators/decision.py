@@ -220,3 +220,31 @@ def score_diagnostics(scores: DataFrame, cuts: tuple[float, ...] = (0.5, 0.7, 0.
         F.min("score").alias("low"), F.max("score").alias("high"), F.round(F.avg("score"), 6).alias("mean"),
         F.median("score").alias("median"), *above,
     )
+
+
+def alpha_sweep(
+    scores: DataFrame, truth: DataFrame, spine: DataFrame, alphas: list[float], thresholds: list[float], a: str = "p1", b: str = "p2"
+) -> DataFrame:
+    """(alpha, threshold, f05) of blends alpha a + (1 - alpha) b, where each partner goes to its best query row.
+
+    That row doesn't depend on the threshold, so partners are assigned once for each alpha.
+    """
+    spark = scores.sparkSession
+    mixed = F.round(F.col("alpha") * F.col(a) + (1 - F.col("alpha")) * F.col(b), 6)
+    each = _swept(scores.select("s1", "o", a, b), grid(spark, "alpha", alphas).drop("pos")).select("alpha", "s1", "o", mixed.alias("score"))
+    first = Window.partitionBy("alpha", "o").orderBy(F.desc("score"), "s1")
+    best = each.withColumn("r", F.row_number().over(first)).where("r = 1")
+    params = spark.createDataFrame([(float(x), float(t)) for x in alphas for t in thresholds], "alpha double, threshold double")
+    kept = best.join(F.broadcast(params), "alpha").where(F.col("score") >= F.col("threshold"))
+    return swept_f05(kept.select("alpha", "threshold", "s1", "o"), ["alpha", "threshold"], params, truth, spine)
+
+
+def with_default(pairs: DataFrame, scores: DataFrame, default: float = 0.0) -> DataFrame:
+    """(s1, o, score) of every pair: its score, or ``default`` where it has none."""
+    return pairs.select("s1", "o").join(scores.select("s1", "o", "score"), ["s1", "o"], "left").fillna({"score": default})
+
+
+def replaced(column: Column, values: dict, default) -> Column:
+    """The value that a mapping has for the column, or ``default``."""
+    table = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, column), F.lit(default))

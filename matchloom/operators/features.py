@@ -148,3 +148,15 @@ def features_56(pairs: DataFrame, s1: DataFrame, other: DataFrame, vectors: Data
         **python,
     }
     return p.select("s1", "o", *[v.cast("double").alias(k) for k, v in features.items()])
+
+
+def features_63(scored: DataFrame, s1: DataFrame, other: DataFrame, vectors: DataFrame | None = None, native: bool = False) -> DataFrame:
+    """(s1, o), seven columns of the candidate itself (sn, sa and slot come with it), and :func:`features_56`."""
+    sn, sa = F.col("sn"), F.col("sa")
+    name = lambda x: F.lower(tx.strip(tx.text(F.col(f"{x}_business_name"))))
+    own = enrich(scored.select("s1", "o", "sn", "sa", "slot"), s1, other).select(
+        "s1", "o", sn.alias("cand_sn"), sa.alias("cand_sa"), F.col("slot").alias("cand_slot"), (sn + sa).alias("cand_sim_sum"),
+        (sn / F.greatest(sa, F.lit(1.0))).alias("cand_rel_margin"), flag(F.col("o").startswith("S2-")).alias("is_source_2"),
+        flag(name("a") == name("b")).alias("exact_norm_name"),
+    )
+    return own.join(features_56(scored, s1, other, vectors, native), ["s1", "o"])

@@ -157,27 +157,30 @@ def pair_texts(pairs: DataFrame, s1: DataFrame, other: DataFrame, per_s1: int =
 
 
 def hint_text(pairs: DataFrame, s1: DataFrame, other: DataFrame) -> DataFrame:
-    """(s1, o, hints): a line of similarity hints for each pair, without those that need Python."""
+    """(s1, o, hints): a line of ten similarity hints for each pair, for text models."""
     side = lambda e: e.select(
-        "entity_id",
-        F.lower(tx.text(F.col("business_name"))).alias("n"),
-        F.lower(tx.text(F.col("business_address"))).alias("a"),
-        F.lower(tx.text(F.col("country"))).alias("c"),
-    ).withColumns({"nt": tx.tokens(F.col("n")), "at": tx.tokens(F.col("a")), "n3": tx.grams(F.col("n"), 3), "a3": tx.grams(F.col("a"), 3),
-                   "z": sim.postal(F.col("a")), "h": F.nullif(F.regexp_extract("a", "^\\D*(\\d+)", 1), F.lit(""))})
+        "entity_id", tx.text(F.col("business_name")).alias("n"), tx.text(F.col("business_address")).alias("a"), F.lower(tx.strip(tx.text(F.col("country")))).alias("c")
+    ).withColumns(
+        {"nt": tx.tokens(F.lower("n")), "at": tx.tokens(F.lower("a")), "n3": tx.grams(F.lower("n"), 3), "a3": tx.grams(F.lower("a"), 3),
+         "z": F.nullif(F.regexp_extract("a", "\\b\\d{5,6}\\b", 0), F.lit("")), "h": F.nullif(F.regexp_extract("a", "^\\D*(\\d+)", 1), F.lit("")),
+         "f": tx.strip(F.lower(F.left("n", F.lit(4))))}
+    )
     p = enrich(pairs.select("s1", "o"), side(s1), side(other))
     ab = lambda x: (F.col(f"a_{x}"), F.col(f"b_{x}"))
+    shown = lambda d, x: F.format_string(f"%.{d}f", F.bround(x, d))  # noqa: E731  ties to even
     yes = lambda x: F.when(x, "1").otherwise("0")
+    #: The hints' names, in order.
     parts = [
-        ("ZIP", yes(F.equal_null(*ab("z")) & F.col("a_z").isNotNull())),
-        ("CITY", yes(F.arrays_overlap(*ab("at")))),
-        ("STATE", yes((F.col("a_c") == F.col("b_c")) & (F.col("a_c") != ""))),
-        ("NAME_TFIDF", F.format_string("%.3f", sim.jaccard(*ab("n3"), 0.0))),
-        ("ADDRESS_TFIDF", F.format_string("%.3f", sim.jaccard(*ab("a3"), 0.0))),
-        ("TOKEN_OVERLAP", F.format_string("%.2f", sim.overlap(*ab("nt")))),
-        ("LEVENSHTEIN", F.format_string("%.2f", sim.edit_similarity(*ab("n")))),
-        ("HOUSE", yes(F.equal_null(*ab("h")) & F.col("a_h").isNotNull())),
-        ("PREFIX", yes((F.left("a_n", F.lit(4)) == F.left("b_n", F.lit(4))) & (F.col("a_n") != ""))),
+        ("ZIP_MATCH", yes(F.equal_null(*ab("z")) & F.col("a_z").isNotNull())),
+        ("CITY_MATCH", yes(F.arrays_overlap(*ab("at")))),
+        ("STATE_MATCH", yes((F.col("a_c") == F.col("b_c")) & (F.col("a_c") != ""))),
+        ("NAME_TFIDF", shown(3, sim.jaccard(*ab("n3"), 0.0))),
+        ("ADDRESS_TFIDF", shown(3, sim.jaccard(*ab("a3"), 0.0))),
+        ("TOKEN_OVERLAP", shown(2, sim.jaccard(*ab("nt"), 0.0))),
+        ("JARO", udfs.jaro_winkler_shown(*ab("n"))),
+        ("LEVENSHTEIN", shown(2, sim.edit_similarity(*ab("n")))),
+        ("HOUSE_MATCH", yes(F.equal_null(*ab("h")) & F.col("a_h").isNotNull())),
+        ("PREFIX_MATCH", yes((F.col("a_f") == F.col("b_f")) & (F.length("a_n") >= 4))),
     ]
     return p.select("s1", "o", F.concat_ws(" ", *[F.concat(F.lit(f"{k}="), v) for k, v in parts]).alias("hints"))
 
@@ -223,3 +226,31 @@ def train_stacker(oof: DataFrame, scores: list[str], positive: float = 2.0):
     """Logistic regression over out-of-fold scores; positives weigh ``positive``."""
     weighted = oof.withColumn("_w", F.when(F.col("label") == 1, positive).otherwise(1.0))
     return Pipeline(stages=[_assembled(scores), LogisticRegression(labelCol="label", weightCol="_w")]).fit(weighted)
+
+
+def meta_features(scores: DataFrame, a: str, b: str) -> DataFrame:
+    """Adds the eight features of the stacker: both scores, their product, distance, larger, smaller, and their logits."""
+    x, y = (F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(c))) for c in (a, b))
+    each = {"m_a": x, "m_b": y, "m_product": x * y, "m_apart": F.abs(x - y), "m_high": F.greatest(x, y), "m_low": F.least(x, y)}
+    return scores.withColumns(each | {"m_logit_a": F.log(x / (1 - x)), "m_logit_b": F.log(y / (1 - y))})
+
+
+META = ["m_a", "m_b", "m_product", "m_apart", "m_high", "m_low", "m_logit_a", "m_logit_b"]
+
+
+def mean_of_models(models: list, df: DataFrame, name: str = "score") -> DataFrame:
+    """Adds the mean probability of several models, such as those of the folds, for rows that none of them has seen."""
+    columns = df.columns
+    for i, model in enumerate(models):
+        df = predict_proba(model, df, f"_p{i}")
+    mean = sum((F.col(f"_p{i}") for i in range(len(models))), F.lit(0.0)) / len(models)
+    return df.select(*columns, mean.alias(name))
+
+
+def mean_importances(models: list, features: list[str]) -> list[tuple[str, float]]:
+    """(feature, mean importance over the models), most important first."""
+    total = dict.fromkeys(features, 0.0)
+    for model in models:
+        for k, v in importances(model, features):
+            total[k] += v / len(models)
+    return sorted(total.items(), key=lambda x: (-x[1], x[0]))

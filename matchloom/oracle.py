@@ -97,8 +97,7 @@ def _deterministic(bucket: int, per_key: int, per_s1: int) -> str:
     det AS (SELECT s1, o, key_ord FROM probed JOIN before USING (s1, key_ord) WHERE had < {per_s1})"""
 
 
-SMALL = _deterministic(10, 5, 12)
-BASE = f"WITH {PARTY}, {KEYS}, {SMALL}"
+BASE = f"WITH {PARTY}, {KEYS}, {_deterministic(150, 40, 80)}"
 
 
 def _gram_set(x: str, n: int) -> str:
@@ -248,19 +247,19 @@ def _swept(kept: str, params: str, by: str) -> str:
     SELECT {by}, round(avg({_f05()}), 6) AS f05 FROM grown GROUP BY ALL"""
 
 
-def _tfidf(text: str, k: int, tail: str) -> str:
+def _tfidf(text: str, k: int, tail: str, cte: str = PARTY, table: str = "party") -> str:
     """Gram weights of both sides; vocabulary and idf from the reference side."""
     word_grams = (
         "CASE WHEN length(w) <= 3 THEN [w] ELSE list_concat(list_transform(range(1, length(w) - 1), lambda i: substring(w, i, 3)), "
         "list_transform(range(1, length(w) - 2), lambda i: substring(w, i, 4))) END"
     )
-    return f"""WITH {PARTY},
-    texts AS (SELECT entity_id AS id, src, unnest({_tokens(text)}) AS word FROM party),
+    return f"""WITH {cte},
+    texts AS (SELECT entity_id AS id, src, unnest({_tokens(text)}) AS word FROM {table}),
     padded AS (SELECT id, src, ' ' || lower(word) || ' ' AS w FROM texts),
     counts AS (SELECT id, src, gram, count(*) AS tf FROM (SELECT id, src, unnest({word_grams}) AS gram FROM padded) GROUP BY ALL),
-    docs AS (SELECT count(*) AS n FROM party WHERE src <> 1),
+    side AS (SELECT count(*) AS n FROM {table} WHERE src <> 1),
     vocab AS (
-        SELECT gram, count(*) AS df, sum(tf) AS total, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM counts, docs WHERE src <> 1
+        SELECT gram, count(*) AS df, sum(tf) AS total, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM counts, side WHERE src <> 1
         GROUP BY gram HAVING count(*) >= 3 AND count(*) <= greatest(0.05, least(0.99, 4 / any_value(n))) * any_value(n)
         ORDER BY total DESC, gram LIMIT 50000),
     raw AS (SELECT id, src, gram, (1 + ln(tf)) * idf AS x FROM counts JOIN vocab USING (gram)),
@@ -283,9 +282,9 @@ def _neighbours(table: str, window: int) -> str:
     near AS (SELECT DISTINCT a.entity_id AS s1, b.entity_id AS o FROM placed a JOIN placed b ON a.src = 1 AND b.src <> 1 AND b.p BETWEEN a.p - {window} AND a.p + {window})"""
 
 
-_UNITED = f"""{BASE}, {_neighbours("party", 2)},
+_UNITED = f"""{BASE}, {_neighbours("party", 10)},
     both_ AS (SELECT s1, o, min(priority) AS priority FROM (SELECT s1, o, 0 AS priority FROM det UNION ALL SELECT s1, o, 1 FROM near) WHERE s1 <> o GROUP BY ALL),
-    united AS (SELECT * FROM both_ QUALIFY row_number() OVER (PARTITION BY s1 ORDER BY priority, o) <= 6)"""
+    united AS (SELECT * FROM both_ QUALIFY row_number() OVER (PARTITION BY s1 ORDER BY priority, o) <= 200)"""
 _DOCS = """
     docs AS (
         SELECT 'S' || (1 + doc_id % 3) || '-' || doc_id AS entity_id, 1 + doc_id % 3 AS src, lang AS country, text,
@@ -296,6 +295,46 @@ _BEST_O = "SELECT s1, o, score FROM models WHERE score >= 0.5 QUALIFY row_number
 _TWO = f"SELECT s1, o, score FROM ({_BEST_O}) QUALIFY row_number() OVER (PARTITION BY s1, split_part(o, '-', 1) ORDER BY score DESC, o) = 1"
 
 ORACLE_SQL |= {
+    "pair_features_63_native": f"""{ALL}, {PREPARED} SELECT d.s1, d.o, sn AS cand_sn, sa AS cand_sa, slot AS cand_slot, round(sn + sa, 6) AS cand_sim_sum,
+        round(sn / greatest(sa, 1.0), 6) AS cand_rel_margin, {_flag("starts_with(d.o, 'S2-')")} AS is_source_2,
+        {_flag("lower(trim(a.raw)) = lower(trim(b.raw))")} AS exact_norm_name, {_selected(MIDDLE)} {_FROM_SIDES.replace("det d", "scored d")}""",
+    "alpha_sweep": _swept(
+        """SELECT a AS alpha, t.threshold, m.s1, m.o FROM (
+               SELECT a, s1, o, round(a * p2 + (1 - a) * p3, 6) AS mixed FROM models, (SELECT DISTINCT alpha AS a FROM params)
+               QUALIFY row_number() OVER (PARTITION BY a, o ORDER BY mixed DESC, s1) = 1) m JOIN params t ON t.alpha = m.a AND m.mixed >= t.threshold""",
+        """SELECT alpha::DOUBLE AS alpha, threshold::DOUBLE AS threshold FROM (SELECT unnest([0.0, 0.2, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 1.0]) AS alpha),
+           (SELECT unnest([0.2, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85]) AS threshold)""",
+        "alpha, threshold",
+    ),
+    "stack_features": f"""{ALL}, c AS (SELECT s1, o, greatest(1e-6, least(1 - 1e-6, p2)) AS x, greatest(1e-6, least(1 - 1e-6, p3)) AS y FROM models)
+        SELECT s1, o, round(x, 6) AS m_a, round(y, 6) AS m_b, round(x * y, 6) AS m_product, round(abs(x - y), 6) AS m_apart, round(greatest(x, y), 6) AS m_high,
+               round(least(x, y), 6) AS m_low, round(ln(x / (1 - x)), 6) AS m_logit_a, round(ln(y / (1 - y)), 6) AS m_logit_b FROM c""",
+    "scores_with_default": f"{ALL} SELECT s1, o, CASE WHEN score >= 0.5 THEN score ELSE 0.0 END AS score FROM models",
+    "map_replace_default": """SELECT c_custkey, CAST(CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2 WHEN 'MACHINERY' THEN 3 ELSE 0 END AS INTEGER) AS segment
+        FROM customer""",
+    "curriculum_stages": f"""{ALL}, pos AS (SELECT s1, o, label, {_draw(42, "s1", "o")} AS d FROM labelled WHERE label = 1 ORDER BY d, s1, o LIMIT 15000),
+        neg AS (SELECT s1, o, label, slot FROM labelled WHERE label = 0 ORDER BY {_draw(42, "s1", "o")}, s1, o LIMIT (SELECT 2 * count(*) FROM pos)),
+        ranked AS (SELECT *, percent_rank() OVER (ORDER BY slot, s1, o) AS r FROM neg)
+        SELECT s1, o, label, CAST(ntile(3) OVER (ORDER BY d, s1, o) - 1 AS INTEGER) AS stage FROM pos
+        UNION ALL SELECT s1, o, label, CASE WHEN r >= 0.75 THEN 0 WHEN r >= 0.35 THEN 1 ELSE 2 END FROM ranked""",
+    "super_hard_negatives": f"""WITH {PARTY}, e AS (
+            SELECT entity_id, src, {_name("business_name")} AS n, coalesce(lower(trim(country)), 'unknown') AS c FROM party),
+        near AS (
+            SELECT a.entity_id AS s1, b.entity_id AS o, round(jaro_winkler_similarity(a.n, b.n), 6) AS name_sim
+            FROM e a JOIN e b ON a.c = b.c AND a.src = 1 AND b.src <> 1 ANTI JOIN truth t ON t.s1 = a.entity_id AND t.o = b.entity_id),
+        pool AS (SELECT * FROM near WHERE name_sim >= 0.6 QUALIFY row_number() OVER (PARTITION BY s1 ORDER BY name_sim DESC, o DESC) <= 15)
+        SELECT s1, o, name_sim FROM pool QUALIFY row_number() OVER (PARTITION BY s1 ORDER BY {_draw(42, "s1", "o")}, o) <= 5""",
+    "hint_text": f"""{BASE}, f AS (
+            SELECT entity_id, business_name AS n, business_address AS a, lower(trim(coalesce(country, ''))) AS c, {_tokens("lower(business_name)")} AS nt,
+                   {_tokens("lower(business_address)")} AS adt, {_gram_set("lower(business_name)", 3)} AS n3, {_gram_set("lower(business_address)", 3)} AS a3,
+                   regexp_extract(business_address, '\\b\\d{{5,6}}\\b') AS z, regexp_extract(business_address, '^\\D*(\\d+)', 1) AS h FROM party)
+        SELECT d.s1, d.o, 'ZIP_MATCH=' || CAST(a.z <> '' AND a.z = b.z AS INTEGER) || ' CITY_MATCH=' || CAST(list_has_any(a.adt, b.adt) AS INTEGER)
+            || ' STATE_MATCH=' || CAST(a.c <> '' AND a.c = b.c AS INTEGER) || ' NAME_TFIDF=' || printf('%.3f', {_jaccard("a.n3", "b.n3", 0.0)})
+            || ' ADDRESS_TFIDF=' || printf('%.3f', {_jaccard("a.a3", "b.a3", 0.0)}) || ' TOKEN_OVERLAP=' || printf('%.2f', {_jaccard("a.nt", "b.nt", 0.0)})
+            || ' JARO=' || printf('%.2f', jaro_winkler_similarity(a.n, b.n)) || ' LEVENSHTEIN=' || printf('%.2f', 1.0 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)))
+            || ' HOUSE_MATCH=' || CAST(a.h <> '' AND a.h = b.h AS INTEGER)
+            || ' PREFIX_MATCH=' || CAST(trim(lower(left(a.n, 4))) = trim(lower(left(b.n, 4))) AND length(a.n) >= 4 AS INTEGER) AS hints
+        FROM det d JOIN f a ON a.entity_id = d.s1 JOIN f b ON b.entity_id = d.o""",
     "norm_name": f"WITH {PARTY} SELECT entity_id, {_name('business_name')} AS name FROM party",
     "norm_address": f"WITH {PARTY} SELECT entity_id, {_address('business_address')} AS address FROM party",
     "norm_text_documents": f"SELECT doc_id, {_plain('text')} AS plain FROM documents",
@@ -309,11 +348,11 @@ ORACLE_SQL |= {
                      left(nc, 3) || '|' || left(ac, 3)]) AS block_key, unnest([4, 4, 3, 1, 5]) AS least FROM n)
         SELECT entity_id, block_key FROM k WHERE length(block_key) >= least""",
     "bucket_sizes": f"WITH {PARTY}, {KEYS} SELECT block_key, count(*) AS bucket_size FROM keys WHERE src <> 1 GROUP BY ALL",
-    "block_deterministic": f"WITH {PARTY}, {KEYS}, {_deterministic(150, 40, 80)} SELECT * FROM det",
-    "block_deterministic_small_buckets": f"{BASE} SELECT * FROM det",
+    "block_deterministic": f"{BASE} SELECT * FROM det",
+    "block_deterministic_small_buckets": f"WITH {PARTY}, {KEYS}, {_deterministic(10, 5, 12)} SELECT * FROM det",
     "tfidf_vocab": _tfidf(_FULL, 30, "SELECT gram, df, round(idf, 6) AS idf FROM vocab"),
     "tfidf_weights": _tfidf(_FULL, 30, "SELECT id, gram, round(w, 6) AS w FROM weights WHERE src <> 1"),
-    "block_tfidf_name": _tfidf(_name("business_name"), 30, "TOPK"),
+    "block_tfidf_name": _tfidf(_name("business_name"), 30, "TOPK", _DOCS, "docs"),
     "block_tfidf_nameaddr": _tfidf(_FULL, 40, "TOPK"),
     "block_vector": """
         SELECT q.vec_id AS s1, i.vec_id AS o, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])), 6) AS sim
@@ -403,10 +442,13 @@ ORACLE_SQL |= {
         count(*) FILTER (score >= 0.5) AS n_50, count(*) FILTER (score >= 0.7) AS n_70, count(*) FILTER (score >= 0.9) AS n_90 FROM models""",
     "export_matches": f"""{ALL}, m AS ({_TWO}) SELECT s.s1 AS source1_entity_id, coalesce(string_agg(m.o, ',' ORDER BY m.o), '') AS matched_entity_ids
         FROM spine s LEFT JOIN m USING (s1) GROUP BY ALL""",
-    "check_export": "SELECT 0 AS missing, 0 AS repeated, 0 AS unknown",
+    "check_export": f"""{BASE}, ids AS (SELECT entity_id AS s1, row_pos AS k FROM party WHERE src = 1),
+        rows_ AS (SELECT s1, k FROM ids WHERE k % 11 <> 0 UNION ALL SELECT s1, k FROM ids WHERE k % 13 = 0)
+        SELECT (SELECT count(*) FROM ids WHERE k % 11 = 0 AND k % 13 <> 0) AS missing, (SELECT count(*) FROM ids WHERE k % 11 <> 0 AND k % 13 = 0) AS repeated,
+               (SELECT count(*) FROM rows_ WHERE k % 17 = 0) AS unknown""",
     "catalog_field_extract": "SELECT p_partkey, p_name AS item_name, CAST(p_size AS VARCHAR) AS item_value, 'Count' AS item_unit, p_brand || ' ' || p_type AS item_text FROM part",
     "semi_valid_customers": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
-    "anti_unmatched_customers": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "anti_unmatched_customers": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
     "topk_orders_per_customer": """SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS r
         FROM orders QUALIFY r <= 3""",
     "left_enrich_two_tables": """SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey""",

@@ -214,3 +214,24 @@ def test_super_hard_negatives_look_at_the_whole_country(spark):
     for extra in ({}, {"block": 5}):
         got = tr.super_hard_negatives(s1, other, truth, pool=6, n=6, **extra)
         assert {(r.s1, r.o): r.name_sim for r in got.collect()} == want
+
+
+def test_partial_ratio_matches_brute_force():
+    rng = random.Random(6)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abc d") for _ in range(rng.randrange(9))) for _ in range(2))
+        pairs = [(a, b), (b, a)] if len(a) == len(b) else [(min(a, b, key=len), max(a, b, key=len))]
+        best = 0.0
+        for x, y in pairs:
+            n = len(x)
+            windows = {y[i : i + n] for i in range(len(y) - n + 1)} | {y[:i] for i in range(1, n)} | {y[-i:] for i in range(1, n)}
+            best = max([best, *(kernels.indel(x, w) for w in windows)] if x else [best, float(not y)])
+        assert kernels.partial(a, b) == best, (a, b)
+
+
+def test_scores_and_maps_take_defaults(spark):
+    pairs = spark.createDataFrame([("a", "x"), ("a", "y")], "s1 string, o string")
+    scores = spark.createDataFrame([("a", "x", 0.7), ("b", "x", 0.1)], "s1 string, o string, score double")
+    assert sorted(r.score for r in de.with_default(pairs, scores, 0.2).collect()) == [0.2, 0.7]
+    one = spark.createDataFrame([("k",), ("z",), (None,)], "v string")
+    assert [r[0] for r in one.select(de.replaced(one["v"], {"k": 3}, 0)).collect()] == [3, 0, 0]
