@@ -138,6 +138,15 @@ def l2_normalized(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double") / norm)
 
 
+def mean_pooled(tokens: Column, mask: Column) -> Column:
+    """The mean of the vectors of an array that a 0/1 mask marks; zeros where it marks none."""
+    marks = F.transform(mask, lambda m: m.cast("double"))
+    total = F.greatest(F.aggregate(marks, F.lit(0.0), lambda s, m: s + m), F.lit(1e-9))
+    part = lambda i: F.zip_with(tokens, marks, lambda t, m: t[i].cast("double") * m)
+    dims = F.sequence(F.lit(0), F.size(tokens[0]) - 1)
+    return F.transform(dims, lambda i: F.aggregate(part(i), F.lit(0.0), lambda s, x: s + x) / total)
+
+
 def vowel_share(x: Column) -> Column:
     return (F.length(x) - F.length(F.translate(x, "aeiou", ""))) / F.greatest(F.length(x), F.lit(1))
 

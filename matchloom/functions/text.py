@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -21,6 +21,13 @@ LEGAL_KEYS = (
     "technology|tech|services?|international|intl\\.?|plc|gmbh|s\\.a\\.s|s\\.a\\.|sarl|sas|eurl|srl|proprietorship|proprietor|"
     "prop\\.?|& sons|and sons|brothers|bros\\.?|pllc|associates?|association|foundation|trust"
 )
+LEGAL_DIAGNOSTIC = (
+    "pvt\\.?\\s*ltd\\.?|private\\s+limited|private\\s+ltd\\.?|p\\.?\\s*ltd\\.?|llp|llc|inc\\.?|corp\\.?|corporation|limited|ltd\\.?|"
+    "co\\.?|company|enterprises?|industries|industry|group|holdings?|trading|traders?|distributors?|solutions?|technologies|"
+    "technology|tech|services?|international|intl\\.?|s\\.a\\.s|s\\.a\\.|sarl|sas|eurl|srl|proprietorship|proprietor|"
+    "prop\\.?|& sons|and sons|brothers|bros\\.?|pllc|plc|associates?|association|foundation|trust|school|college|"
+    "hospital|clinic|center|centre"
+)
 LEGAL_MARKERS = "pvt|private|limited|ltd|llp|llc|inc|corp|sas|sarl|eurl|srl"
 LEGAL_SUFFIX = (
     "inc|incorporated|llc|limited liability company|ltd|limited|corp|corporation|co|company|gmbh|sa|srl|bv|sl|oy|ab|pvt|plc"
@@ -213,6 +220,39 @@ def catalog_fields(x: Column) -> dict[str, Column]:
     }
 
 
+#: The code points that are dropped from product texts.
+EMOJI = (
+    (0x1F600, 0x1F64F), (0x1F300, 0x1F5FF), (0x1F680, 0x1F6FF), (0x1F1E0, 0x1F1FF),
+    (0x2700, 0x27BF), (0x1F900, 0x1F9FF), (0x2600, 0x26FF), (0x2B00, 0x2BFF),
+)
+
+
 def without_emoji(x: Column) -> Column:
     """Without the emoji and pictograph ranges."""
-    return F.regexp_replace(x, "[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{1F1E6}-\\x{1F1FF}]+", "")
+    return F.regexp_replace(x, "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in EMOJI) + "]+", "")
+
+
+def _field(x: Column, key: str) -> Column:
+    return F.lower(strip(F.regexp_extract(x, f"(?id){key}:\\s*(.*)", 1)))
+
+
+def product_text(x: Column) -> Column:
+    """Three lines (units, value, item name) of a product text, lower-cased; a null text gives the empty one."""
+    plain = without_emoji(x)
+    lines = [F.concat(F.lit(f"{k}: "), _field(plain, k)) for k in ("Units", "Value", "Item Name")]
+    return F.coalesce(F.array_join(F.array(*lines), "\n"), F.lit(""))
+
+
+def product_text_described(x: Column, spelled: Callable[[Column], Column] = lambda c: c) -> Column:
+    """Item name, value and units, then the description, or else up to three bullet points; null counts as empty.
+
+    ``spelled`` writes numbers as words before the fields are taken.  With it "Bullet Point 1" isn't numbered any
+    longer, so that bullet points are found only without it.
+    """
+    plain = spelled(without_emoji(F.coalesce(x, F.lit(""))))
+    lines = [F.concat(F.lit(f"{k}: "), _field(plain, k)) for k in ("Item Name", "Value", "Units")]
+    pattern = "(?isd)Product Description:\\s*(.*?)(?=\\n\\w+:|\\n?\\z)"
+    bullets = F.slice(F.regexp_extract_all(plain, F.lit("(?id)Bullet Point \\d+:\\s*(.*)"), F.lit(1)), 1, 3)
+    bullets = F.transform(bullets, lambda b, i: F.concat(F.lit("Bullet Points "), (i + 1).cast("string"), F.lit(": "), F.lower(strip(b))))
+    described = F.array(F.concat(F.lit("Description: "), F.lower(strip(F.regexp_extract(plain, pattern, 1)))))
+    return F.array_join(F.concat(F.array(*lines), F.when(plain.rlike(pattern), described).otherwise(bullets)), "\n")

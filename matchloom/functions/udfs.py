@@ -43,11 +43,12 @@ lcs_substring = _pairwise(kernels.substring, T.IntegerType())
 lcs_subsequence = _pairwise(kernels.subsequence, T.IntegerType())
 metaphone = _single(kernels.metaphone)
 ascii_fold_exact = _single(kernels.ascii_fold)
+spelled_numbers = _single(kernels.spelled_numbers)
 
 
 def register(spark: SparkSession) -> None:
     """Makes the functions callable from SQL under their names."""
     for name in (
-        "jaro_winkler", "indel_ratio", "token_sort_ratio", "partial_ratio", "lcs_substring", "lcs_subsequence", "metaphone", "ascii_fold_exact",
+        "jaro_winkler", "indel_ratio", "token_sort_ratio", "partial_ratio", "lcs_substring", "lcs_subsequence", "metaphone", "ascii_fold_exact", "spelled_numbers",
     ):
         spark.udf.register(name, globals()[name])

@@ -6,6 +6,10 @@ are long pair tables (s1, o).
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
@@ -67,6 +71,23 @@ def legacy_keys(entities: DataFrame) -> DataFrame:
     return e.select("entity_id", F.explode(F.array_compact(keys)).alias("block_key"))
 
 
+def diagnostic_keys(entities: DataFrame) -> DataFrame:
+    """(entity_id, key_a to key_f): the keys of the analysis of missed pairs, with their own list of legal forms."""
+    plain = lambda x: F.regexp_replace(F.lower(tx.text(x)), r"(?U)[^\w\s]", " ")
+    name = F.regexp_replace(F.lower(tx.text(F.col("business_name"))), rf"(?U)\b({tx.LEGAL_DIAGNOSTIC})\b", " ")
+    name = tx.collapse(plain(name))
+    n, a = F.replace(name, F.lit(" "), F.lit("")), F.replace(plain(F.col("business_address")), F.lit(" "), F.lit(""))
+    country = tx.strip(F.lower(tx.text(F.col("country"))))
+    start = lambda x, k: F.substring(x, 1, k)
+    joined = lambda x, y: F.concat(x, F.lit("|"), y)
+    words = F.filter(F.split(name, " "), lambda w: w != "")
+    return entities.select(
+        "entity_id", joined(country, start(n, 8)).alias("key_a"), joined(country, start(a, 8)).alias("key_b"), start(n, 10).alias("key_c"),
+        F.array_join(F.slice(F.array_sort(words), 1, 5), " ").alias("key_d"), joined(start(n, 6), start(a, 6)).alias("key_e"),
+        joined(start(n, 5), country).alias("key_f"),
+    )
+
+
 def bucket_sizes(keys: DataFrame) -> DataFrame:
     """(block_key, bucket_size), an entity counted for each of its keys."""
     return keys.groupBy("block_key").agg(F.count("*").alias("bucket_size"))
@@ -176,6 +197,49 @@ def block_vector(queries: DataFrame, index: DataFrame, k: int = 30, blocks: int
     return sims.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("s1", "o", "sim")
 
 
+def vector_cells(
+    index: DataFrame, cells: int = 4096, sample: int = 200_000, seed: int = 42, id_col: str = "vec_id", vector_col: str = "embedding"
+) -> np.ndarray:
+    """Centres of k-means on about ``sample`` rows, chosen by the hash of their ids."""
+    rows = index.where(F.col(vector_col).isNotNull())
+    share = int(min(1.0, sample / max(rows.count(), 1)) * 2**32)
+    drawn = rows.where(F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(2**32)) < F.lit(share))
+    model = KMeans(k=cells, seed=seed, maxIter=10).fit(drawn.select(array_to_vector(F.col(vector_col).cast("array<double>")).alias("features")))
+    return np.stack(model.clusterCenters())
+
+
+def block_vector_cells(
+    queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int = 30, probes: int = 64, id_col: str = "vec_id", vector_col: str = "embedding",
+    block: int = 50_000,
+) -> DataFrame:
+    """As ``block_vector``, but only the rows in the ``probes`` cells nearest to a query are looked at.
+
+    Every index row is in the cell of its nearest centre.  Cells of over ``block`` rows are split by the hash of
+    the id, and queries visit every part, so no task holds a common cell.  With as many probes as cells the result is exact.
+    Rows without a vector take no part.
+    """
+
+    def nearest(n: int) -> Column:
+        @F.pandas_udf("array<int>")
+        def run(vectors: pd.Series) -> pd.Series:
+            x = np.stack(vectors.to_list()).astype(float) if len(vectors) else np.empty((0, centres.shape[1]))
+            near = np.argsort((centres**2).sum(axis=1) - 2 * x @ centres.T, axis=1, kind="stable")[:, :n]
+            return pd.Series(list(near.astype(np.int32)))
+
+        return run(F.col(vector_col))
+
+    given = lambda df: df.where(F.col(vector_col).isNotNull())
+    there = given(index).select(F.col(id_col).alias("o"), F.col(vector_col).alias("iv"), nearest(1)[0].alias("cell"))
+    parts = there.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("parts"))  # a row for each centre at most
+    parts = F.broadcast(parts)
+    there = there.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("o"), "parts")).drop("parts")
+    asks = given(queries).select(F.col(id_col).alias("s1"), F.col(vector_col).alias("qv"), F.explode(nearest(probes)).alias("cell"))
+    asks = asks.join(parts, "cell").select("s1", "qv", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    sims = asks.join(there, ["cell", "part"]).where("s1 <> o").select("s1", "o", F.round(dot(F.col("qv"), F.col("iv")), 6).alias("sim"))
+    order = Window.partitionBy("s1").orderBy(F.desc("sim"), "o")
+    return sims.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("s1", "o", "sim")
+
+
 def block_sorted_neighbourhood(s1: DataFrame, other: DataFrame, window: int = 10) -> DataFrame:
     """(s1, o): reference rows within ``window`` places of a query row in the joint order of sort keys.
 

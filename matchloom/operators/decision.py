@@ -6,11 +6,10 @@ group-by, instead of a loop of jobs.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.similarity import f_beta, logit, sigmoid
+from ..sources.shared import checkpointed
 
 
 def grid(spark: SparkSession, name: str, values: list[float]) -> DataFrame:
@@ -175,21 +174,15 @@ def greedy(scores: DataFrame, threshold: float = 0.0) -> DataFrame:
     round is checkpointed to the session's checkpoint folder; at least the best edge left is taken in
     each, and most edges in the first few.
     """
-    spark = scores.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp())
-    left = scores.where(F.col("score") >= threshold).select("s1", "o", "score", source_of().alias("src")).checkpoint()
+    left = checkpointed(scores.where(F.col("score") >= threshold).select("s1", "o", "score", source_of().alias("src")))
     taken = []
     by_query = Window.partitionBy("s1", "src").orderBy(F.desc("score"), "s1", "o")
     by_other = Window.partitionBy("o").orderBy(F.desc("score"), "s1", "o")
     while not left.isEmpty():
         ranked = left.withColumns({"a": F.row_number().over(by_query), "b": F.row_number().over(by_other)})
-        mutual = ranked.where("a = 1 and b = 1").select("s1", "o", "score", "src").checkpoint()
+        mutual = checkpointed(ranked.where("a = 1 and b = 1").select("s1", "o", "score", "src"))
         taken.append(mutual.select("s1", "o", "score"))
-        left = left.join(mutual.select("s1", "src"), ["s1", "src"], "left_anti").join(mutual.select("o"), "o", "left_anti").checkpoint()
+        left = checkpointed(left.join(mutual.select("s1", "src"), ["s1", "src"], "left_anti").join(mutual.select("o"), "o", "left_anti"))
     out = left.select("s1", "o", "score")
     for t in taken:
         out = out.unionByName(t)

@@ -6,7 +6,7 @@ or row order.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -204,6 +204,15 @@ def predict_proba(model, df: DataFrame, name: str = "score") -> DataFrame:
     return model.transform(df).withColumn(name, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def save_model(model, path: str) -> None:
+    """Writes a fitted model; ``load_model`` reads it."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def out_of_fold(folded: DataFrame, features: list[str], folds: int = 5, **params) -> DataFrame:
     """(s1, o, label, fold, score): each row scored by the model that never saw its fold."""
     parts = []

@@ -455,3 +455,47 @@ ORACLE_SQL |= {
     "group_concat_sorted": "SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS order_keys FROM (SELECT DISTINCT o_custkey, o_orderkey FROM orders) GROUP BY 1",
     "category_codes": "SELECT p_type, dense_rank() OVER (ORDER BY p_type) - 1 AS code FROM (SELECT DISTINCT p_type FROM part)",
 }
+
+#: Product texts of the parts, by pieces: {0} writes a number.
+_SPELL = (
+    "CASE WHEN {0} < 20 THEN list_extract(['zero', 'one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten', 'eleven', 'twelve', "
+    "'thirteen', 'fourteen', 'fifteen', 'sixteen', 'seventeen', 'eighteen', 'nineteen'], CAST({0} + 1 AS BIGINT)) "
+    "ELSE list_extract(['twenty', 'thirty', 'forty', 'fifty', 'sixty', 'seventy', 'eighty', 'ninety'], CAST({0} // 10 - 1 AS BIGINT)) "
+    "|| CASE WHEN {0} % 10 > 0 THEN '-' || list_extract(['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine'], CAST({0} % 10 AS BIGINT)) ELSE '' END END"
+)
+
+
+def _described(value: str, bullets: str) -> str:
+    head = f"'Item Name: ' || lower(p_name) || chr(10) || 'Value: ' || {value} || chr(10) || 'Units: count'"
+    return f"""SELECT p_partkey, {head} || CASE WHEN p_partkey % 3 = 0 THEN chr(10) || 'Description: ' || lower(p_name) || chr(10) || 'of ' || lower(p_type)
+        ELSE {bullets} END AS text FROM part"""
+
+
+_PLAIN_KEY = "regexp_replace(lower(coalesce({0}, '')), '[^\\w\\s]', ' ', 'g')"
+_POOLED = " + ".join(f"CAST(embedding[{16 * j} + dim + 1] AS DOUBLE) * CAST((vec_id + {j}) % 3 <> 0 AS INTEGER)" for j in range(4))
+_MARKED = " + ".join(f"CAST((vec_id + {j}) % 3 <> 0 AS INTEGER)" for j in range(4))
+_HELD = f"{_share(42, 's1')} < {int(0.2 * 2**32)}"
+
+ORACLE_SQL |= {
+    "diagnostic_keys": f"""WITH {PARTY}, n AS (
+            SELECT entity_id, lower(trim(coalesce(country, ''))) AS c, replace({_PLAIN_KEY.format('business_address')}, ' ', '') AS a,
+                   {_collapse(_PLAIN_KEY.format("regexp_replace(lower(business_name), '" + chr(92) + 'b(' + tx.LEGAL_DIAGNOSTIC + ')' + chr(92) + "b', ' ', 'g')"))} AS name
+            FROM party),
+        k AS (SELECT *, replace(name, ' ', '') AS n FROM n)
+        SELECT entity_id, c || '|' || left(n, 8) AS key_a, c || '|' || left(a, 8) AS key_b, left(n, 10) AS key_c,
+               array_to_string(list_sort(list_filter(string_split(name, ' '), lambda w: w <> ''))[1:5], ' ') AS key_d,
+               left(n, 6) || '|' || left(a, 6) AS key_e, left(n, 5) || '|' || c AS key_f FROM k""",
+    "product_text": "SELECT p_partkey, 'Units: count' || chr(10) || 'Value: ' || p_size || chr(10) || 'Item Name: ' || lower(p_name) AS text FROM part",
+    "product_text_described": _described(
+        "p_size", "chr(10) || 'Bullet Points 1: ' || lower(p_brand) || chr(10) || 'Bullet Points 2: ' || lower(p_type)"
+    ),
+    "product_text_spelled": _described(_SPELL.format("p_size"), "''"),
+    "order_slice": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 250 OFFSET 100",
+    "mean_pooling": f"""SELECT vec_id, CAST(dim AS INTEGER) AS dim, round(({_POOLED}) / greatest({_MARKED}, 1e-9), 6) AS value
+        FROM (SELECT *, unnest(range(16)) AS dim FROM embeddings)""",
+    "block_vector_all_cells": ORACLE_SQL["block_vector"],
+    "l2_normalized": """SELECT vec_id, CAST(dim AS INTEGER) AS dim, round(CAST(embedding[dim + 1] AS DOUBLE) / (sqrt(list_inner_product(CAST(embedding AS DOUBLE[]),
+        CAST(embedding AS DOUBLE[]))) + 1e-8), 6) AS value FROM (SELECT *, unnest(range(len(embedding))) AS dim FROM embeddings)""",
+    "without_held_out": f"{BASE} SELECT s1, o FROM det WHERE NOT ({_HELD})",
+    "share_sample": f"WITH {PARTY} SELECT entity_id FROM party WHERE src = 1 AND {_share(11, 'entity_id')} < {int(0.3 * 2**32)}",
+}

@@ -552,3 +552,83 @@ def scores_with_default(spark, sf_dir):
 def map_replace_default(spark, sf_dir):
     rank = {"AUTOMOBILE": 1, "BUILDING": 2, "MACHINERY": 3}
     return tb.read_table(spark, sf_dir, "customer").select("c_custkey", de.replaced(F.col("c_mktsegment"), rank, 0).alias("segment"))
+
+
+@query
+def diagnostic_keys(spark, sf_dir):
+    return bl.diagnostic_keys(_party(spark, sf_dir)[0])
+
+
+def _product_texts(spark, sf_dir) -> DataFrame:
+    """Product texts of the parts; every third has a description, the others bullet points."""
+    described = F.concat(F.lit("\nProduct Description: "), F.col("p_name"), F.lit("\nOf "), F.col("p_type"))
+    bullets = F.concat(F.lit("\nBullet Point 1: "), F.col("p_brand"), F.lit("\nBullet Point 2:  "), F.col("p_type"))
+    text = F.concat(
+        F.lit("Item Name: \U0001f600"), F.col("p_name"), F.when(F.col("p_partkey") % 3 == 0, described).otherwise(bullets),
+        F.lit("\nValue: "), F.col("p_size").cast("string"), F.lit("\nUnits: Count\n"),
+    )
+    return tb.read_table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
+
+
+@query
+def product_text(spark, sf_dir):
+    return _product_texts(spark, sf_dir).select("p_partkey", tx.product_text(F.col("text")).alias("text"))
+
+
+@query
+def product_text_described(spark, sf_dir):
+    return _product_texts(spark, sf_dir).select("p_partkey", tx.product_text_described(F.col("text")).alias("text"))
+
+
+@query
+def product_text_spelled(spark, sf_dir):
+    return _product_texts(spark, sf_dir).select("p_partkey", tx.product_text_described(F.col("text"), udfs.spelled_numbers).alias("text"))
+
+
+@query
+def order_slice(spark, sf_dir):
+    o = tb.read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return tb.slice_rows(o, [F.col("o_orderkey")], 100, 250)
+
+
+@query
+def mean_pooling(spark, sf_dir):
+    tokens = F.array(*[F.slice("embedding", 16 * j + 1, 16) for j in range(4)])
+    mask = F.array(*[((F.col("vec_id") + j) % 3 != 0).cast("int") for j in range(4)])
+    v = tb.read_table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(sim.mean_pooled(tokens, mask)).alias("dim", "value"))
+    return v.withColumn("value", F.round("value", 6))
+
+
+@query
+def block_vector_cells(spark, sf_dir):
+    v = tb.read_table(spark, sf_dir, "embeddings")
+    return bl.block_vector_cells(v.where("vec_id % 5 = 0"), v, bl.vector_cells(v, 16), 30, 8)
+
+
+@query
+def block_vector_all_cells(spark, sf_dir):
+    v = tb.read_table(spark, sf_dir, "embeddings")
+    return bl.block_vector_cells(v.where("vec_id % 5 = 0"), v, bl.vector_cells(v, 16), 30, 16)
+
+
+@query
+def l2_normalized(spark, sf_dir):
+    v = tb.read_table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(sim.l2_normalized(F.col("embedding"))).alias("dim", "value"))
+    return v.withColumn("value", F.round("value", 6))
+
+
+@query
+def without_held_out(spark, sf_dir):
+    pairs, _, s1, _ = _pairs(spark, sf_dir)
+    return tr.without_ids(pairs, tr.split_val(s1, 0.2)[1])
+
+
+@query
+def share_sample(spark, sf_dir):
+    return tr.sample_share(_party(spark, sf_dir)[1], 0.3, 11, "entity_id").select("entity_id")
+
+
+@query
+def blocking_report_timed(spark, sf_dir):
+    e, s1, other = _party(spark, sf_dir)
+    return pl.timed_report(s1, other, tb.truth_pairs(e), pl.Config(skip_tfidf=True))

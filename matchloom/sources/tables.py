@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
+from .shared import checkpointed
+
 ENTITY = T.StructType([T.StructField(x, T.StringType()) for x in ("entity_id", "business_name", "business_address", "country")])
 TRUTH = T.StructType([T.StructField(x, T.StringType()) for x in ("source1_entity_id", "matched_entity_ids")])
 
@@ -35,9 +37,14 @@ def shard_rows(df: DataFrame, order: str, part: int, parts: int) -> DataFrame:
     """
     n = df.count()
     each = n // parts
-    numbered = positions(df, [F.col(order)])
-    last = n if part == parts else part * each
-    return numbered.where((F.col("position") >= (part - 1) * each) & (F.col("position") < last)).drop("position")
+    begin = (part - 1) * each
+    return slice_rows(df, [F.col(order)], begin, (n if part == parts else part * each) - begin)
+
+
+def slice_rows(df: DataFrame, keys: list[Column], offset: int, length: int) -> DataFrame:
+    """``length`` rows from place ``offset`` on, in the order of ``keys``."""
+    numbered = positions(df, keys)
+    return numbered.where((F.col("position") >= offset) & (F.col("position") < offset + length)).drop("position")
 
 
 def positions(df: DataFrame, keys: list[Column], name: str = "position") -> DataFrame:
@@ -48,8 +55,8 @@ def positions(df: DataFrame, keys: list[Column], name: str = "position") -> Data
     """
     names = [f"_k{i}" for i in range(len(keys))]
     keyed = df.withColumns(dict(zip(names, keys, strict=True)))
-    # Bounds are columns of the rows from then on: a task that runs again numbers its rows alike.
-    ranged = keyed.repartitionByRange(*names).withColumn("_part", F.spark_partition_id())
+    # Range bounds come from samples, so the ranges are written once; both plans below read the same ones.
+    ranged = checkpointed(keyed.repartitionByRange(*names).withColumn("_part", F.spark_partition_id()))
     totals = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -84,6 +91,21 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(sep="\t", header=True, emptyValue="", nullValue="", quote="\u0000").csv(path)
 
 
+def write_report(report: DataFrame, path: str) -> None:
+    """The report, a row per blocking pass, as one comma-separated file with a header."""
+    report.coalesce(1).write.mode("overwrite").options(header=True).csv(path)
+
+
+def write_parameters(spark: SparkSession, values: dict[str, float], path: str) -> None:
+    """Tuned parameters, such as a threshold, as one JSON row."""
+    row = spark.createDataFrame([tuple(map(float, values.values()))], [*values])
+    row.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_parameters(spark: SparkSession, path: str) -> dict[str, float]:
+    return spark.read.json(path).first().asDict()
+
+
 def check_export(exported: DataFrame, spine: DataFrame, others: DataFrame, column: str) -> DataFrame:
     """One row: ids missing from the export, ids twice in it, partners that don't exist."""
     each = exported.select("source1_entity_id", F.explode(F.split(column, ",")).alias("o")).where("o <> ''")

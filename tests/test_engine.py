@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchloom.functions import kernels, similarity as sim, text as tx, udfs
 from matchloom.operators import blocking as bl, context as cx, decision as de, features as fe, features_full as ff, training as tr
 from matchloom.plans import pipeline as pl
-from matchloom.sources import tables as tb
+from matchloom.sources import shared, tables as tb
 from matchloom.streaming import incremental
 
 ENTITY = "entity_id string, row_pos long, business_name string, business_address string, country string"
@@ -235,3 +235,68 @@ def test_scores_and_maps_take_defaults(spark):
     assert sorted(r.score for r in de.with_default(pairs, scores, 0.2).collect()) == [0.2, 0.7]
     one = spark.createDataFrame([("k",), ("z",), (None,)], "v string")
     assert [r[0] for r in one.select(de.replaced(one["v"], {"k": 3}, 0)).collect()] == [3, 0, 0]
+
+
+def test_numbers_in_words():
+    words = {0: "zero", 21: "twenty-one", 100: "one hundred", 342: "three hundred and forty-two", 1001: "one thousand and one"}
+    words |= {1100: "one thousand, one hundred", 123_456: "one hundred and twenty-three thousand, four hundred and fifty-six", 10**6 + 7: "one million and seven"}
+    assert {n: kernels.number_words(n) for n in words} == words
+    assert kernels.spelled_numbers("a 12 b3 7") == "a twelve b3 seven" and kernels.spelled_numbers("9" * 40) == "9" * 40
+
+
+def test_product_texts(spark):
+    rows = ["Item Name: A \U0001f600B\nBullet Point 1: Red\nBullet Point 2: Big\nValue: 12\nUnits: Oz", "Product Description: One\ntwo\nValue: 3", "", None]
+    one = [(x,) for x in rows]
+    assert values(spark, tx.product_text(F.col("x")), *one) == ["Units: oz\nValue: 12\nItem Name: a b", "Units: \nValue: 3\nItem Name: ", "Units: \nValue: \nItem Name: ", ""]
+    blank = "Item Name: \nValue: \nUnits: "
+    assert values(spark, tx.product_text_described(F.col("x")), *one) == [
+        "Item Name: a b\nValue: 12\nUnits: oz\nBullet Points 1: red\nBullet Points 2: big", "Item Name: \nValue: 3\nUnits: \nDescription: one\ntwo", blank, blank,
+    ]
+    assert values(spark, tx.product_text_described(F.col("x"), udfs.spelled_numbers), *one)[0] == "Item Name: a b\nValue: twelve\nUnits: oz"
+
+
+def test_vector_cells(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6, 16))[rng.integers(6, size=600)] + rng.normal(size=(600, 16)) * 0.3
+    x[200:400] = x[3]  # a common vector
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries, centres = v.where("vec_id % 20 = 0"), bl.vector_cells(v, 6)
+    exact = {tuple(r) for r in bl.block_vector(queries.where("embedding is not null"), v.where("embedding is not null"), 10).collect()}
+    assert {tuple(r) for r in bl.block_vector_cells(queries, v, centres, 10, 6, block=50).collect()} == exact
+    found = {tuple(r) for r in bl.block_vector_cells(queries, v, centres, 10, 2, block=50).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+
+
+def test_sinks_and_paths(spark, tmp_path, entities):
+    tb.write_parameters(spark, {"threshold": 0.55}, str(tmp_path / "p"))
+    assert tb.read_parameters(spark, str(tmp_path / "p")) == {"threshold": 0.55}
+    assert shared.first_existing(spark, [str(tmp_path / "none"), str(tmp_path / "p")]) == str(tmp_path / "p")
+    with pytest.raises(FileNotFoundError):
+        shared.first_existing(spark, [str(tmp_path / "none")])
+    s1, other = entities.where("entity_id like 'S1%'"), entities.where("entity_id not like 'S1%'")
+    truth = spark.createDataFrame([("S1-1", "S2-1"), ("S1-2", "S3-2")], "s1 string, o string")
+    report = pl.timed_report(s1, other, truth, pl.Config(skip_tfidf=True), path=str(tmp_path / "r"))
+    assert [r.method for r in report.collect()] == ["deterministic", "sorted_neighbourhood", "final_union"]
+    back = tb.read_csv(spark, str(tmp_path / "r"), report.schema)
+    assert back.columns == report.columns and back.where("time_sec >= 0 and recall = 1 and method = 'final_union'").count() == 1
+    rows = spark.createDataFrame([(i % 7 / 7, i % 2) for i in range(200)], "x double, label int")
+    model = tr.train_boosted(rows, ["x"], trees=2, depth=2)
+    tr.save_model(model, str(tmp_path / "m"))
+    one, two = (tr.predict_proba(m, rows).agg(F.sum("score")).first()[0] for m in (model, tr.load_model(str(tmp_path / "m"))))
+    assert one == two
+
+
+def test_slices_and_sql_functions(spark):
+    rows = spark.range(100).select((F.col("id") * 37 % 101).alias("k"))
+    order = sorted(i * 37 % 101 for i in range(100))
+    assert sorted(r.k for r in tb.slice_rows(rows, [F.col("k")], 10, 25).collect()) == order[10:35]
+    assert tb.slice_rows(rows.limit(0), [F.col("k")], 0, 5).count() == 0
+    udfs.register(spark)
+    assert spark.sql("SELECT round(jaro_winkler('martha', 'marhta'), 4), metaphone('smith'), spelled_numbers('7')").first()[0] == 0.9611
+    scores = spark.createDataFrame([("a", "x", 0.9, 1), ("a", "y", 0.8, 0), ("b", "y", 0.2, 0)], "s1 string, o string, score double, label int")
+    t = de.fit_temperature(scores)
+    after = [r.score for r in de.calibrate(scores, t).orderBy("o", "s1").collect()]
+    assert t > 0 and all(0 < p < 1 for p in after) and de.calibrate(scores, 1.0).where("abs(score - 0.9) < 1e-9").count() == 1
