@@ -3,7 +3,7 @@
 The pieces' lengths make a histogram, bounded by the sequence size and not by the
 data.  On it the driver plans: patterns of one to three lengths that fill a sequence
 exactly are enumerated, repeat counts are fitted to the histogram by non-negative
-least squares (an active-set method), rounded, and capped by what is there; the rest of
+least squares (an active-set method), rounded down, and capped by what is there; the rest of
 the histogram is packed best-fit decreasing, on counts.  Executors then number the
 pieces of every length and look their places up in the plan.
 """
@@ -26,16 +26,43 @@ from .storage import durable
 #: Fixed value: the pattern of byte-level pre-tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PROBE = "It's 12.5 % of déjà-vu;\n\n  naïve  Straße\t\u00a0x -- don't, 漢字 ½ \U0001f600 end. "
+#: Least repeats of a fitted pattern, in the plans that are compared.
+LEAST_REPEATS = (1, 2, 3)
 #: Pieces of one length that are numbered together in a task.
 RUN = 50_000
 
 
+def are_ranks(merges: list[tuple[bytes, bytes]], ranks: dict[bytes, int]) -> bool:
+    """Whether merging listed pairs in their order and merging whatever has the least rank give the same ids for all bytes.
+
+    They do if every token but the single bytes is the result of one merge, in the order of ids, and if its bytes,
+    merged by lower ranks, end in the two parts of that merge: no other two parts of it can then ever be neighbours.
+    """
+    made = [ranks.get(a + b, -1) for a, b in merges]
+    if any(x >= y for x, y in zip(made, made[1:], strict=False)) or made[:1] == [-1]:
+        return False
+    if len(made) + sum(len(t) == 1 for t in ranks) != len(ranks):
+        return False
+    for (a, b), own in zip(merges, made, strict=True):
+        whole = a + b
+        parts = [whole[i : i + 1] for i in range(len(whole))]
+        while len(parts) > 2:
+            low, at = min((ranks.get(parts[i] + parts[i + 1], own), i) for i in range(len(parts) - 1))
+            if low >= own:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if parts != [a, b]:
+            return False
+    return True
+
+
 class TextEncoder:
     """Ids of whole texts by a ``tokenizers`` file.
 
-    A byte-level BPE file whose merges are in the order of their ids is a rank table, and the
-    rank-based library encodes it several times faster.  That way is taken if both libraries agree on
-    ``PROBE``; else, and for any text with a special token's string, the file's own library encodes.
+    A byte-level BPE file whose merges are in the order of their ids may be a rank table, and the
+    rank-based library encodes it several times faster.  That way is taken if every merge is proved to be
+    that of the ranks and both libraries cut ``PROBE`` alike; else, and for any text with a special token's string, the
+    file's own library encodes.
     """
 
     def __init__(self, path: str):
@@ -62,10 +89,13 @@ class TextEncoder:
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
         special = {t["content"] for t in spec.get("added_tokens", [])}
         vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in special}
-        merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
-        if merged != sorted(merged) or not all(c in byte for t in vocab for c in t):
+        if not all(c in byte for t in vocab for c in t):
+            return None
+        plain = lambda t: bytes(byte[c] for c in t)
+        ranks = {plain(t): i for t, i in vocab.items()}
+        pairs = [tuple(map(plain, m.split(" ") if isinstance(m, str) else m)) for m in spec["model"]["merges"]]
+        if not are_ranks(pairs, ranks):
             return None
-        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items()}
         return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def direct(self, text: str) -> list[int]:
@@ -236,32 +266,44 @@ def best_fit_decreasing(counts: dict[int, int], size: int) -> list[tuple[tuple[i
     return [g for groups in open_.values() for g in groups]
 
 
+def _repeats(
+    histogram: dict[int, int], rows: np.ndarray, x: np.ndarray, least: int
+) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """Patterns with at least ``least`` repeats, rounded down and capped by what is there, and what they leave."""
+    left, groups = dict(histogram), []
+    for j in np.argsort(-x, kind="stable"):
+        if x[j] + 1e-6 < least:
+            break
+        lengths = tuple(int(v) for v in rows[j] if v)
+        n = min([int(x[j] + 1e-6), *(left.get(v, 0) // lengths.count(v) for v in lengths)])
+        if n:
+            groups.append((lengths, n))
+            for v in lengths:
+                left[v] -= n
+    return groups, left
+
+
 def plan(histogram: dict[int, int], size: int) -> Plan:
-    """Sequences for pieces of the given lengths (1 to ``size``): fitted patterns first, then the residual."""
+    """Sequences for pieces of the given lengths (1 to ``size``): fitted patterns first, then the residual.
+
+    Repeat counts are rounded down, as a repeat too many takes the short pieces that fill the residual.  Of the plans that
+    leave patterns of under one, two or three repeats to the residual, that with the fewest sequences is taken.
+    """
     left = dict(histogram)
-    groups: list[tuple[tuple[int, ...], int]] = []
-    if left:
-        target = np.zeros(size + 1)
-        for length, n in left.items():
-            target[length] = n
-        whole = int(target[size])
-        target[size] = 0
-        if whole:
-            groups.append(((size,), whole))
-            del left[size]
-        rows = patterns(size, np.flatnonzero(target))
-        x = fit(target, rows)
-        for j in np.argsort(-x, kind="stable"):
-            if x[j] < 0.5:
-                break
-            lengths = tuple(int(v) for v in rows[j] if v)
-            n = min([int(x[j] + 0.5), *(left.get(v, 0) // lengths.count(v) for v in lengths)])
-            if n:
-                groups.append((lengths, n))
-                for v in lengths:
-                    left[v] -= n
+    whole = [((size,), left.pop(size))] if left.get(size) else []
+    target = np.zeros(size + 1)
+    for length, n in left.items():
+        target[length] = n
+    rows = patterns(size, np.flatnonzero(target))
+    x = fit(target, rows)
+    made = []
+    for least in LEAST_REPEATS:
+        taken, rest = _repeats(left, rows, x, least)
+        packed = best_fit_decreasing({v: n for v, n in rest.items() if n}, size)
+        made.append((sum(n for _, n in taken + packed), whole + taken, packed))
+    _, groups, packed = min(made, key=lambda m: m[0])
     fitted = sum(n for _, n in groups)
-    groups += best_fit_decreasing({v: n for v, n in left.items() if n}, size)
+    groups = groups + packed
     segments, given, base = [], defaultdict(int), 0
     for lengths, n in groups:
         offset = 0

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from matchloom.llm import bpe, lines
 from matchloom.llm.lines import line_classes, within, without_repeats
 from matchloom.llm.minhash import near_duplicates
-from matchloom.llm.packing import TextEncoder, best_fit_decreasing, pack, plan, sequences, tokenized_pieces
+from matchloom.llm.packing import TextEncoder, are_ranks, best_fit_decreasing, pack, plan, sequences, tokenized_pieces
+from matchloom.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, sequence_id string, line long"  # the last two clash with added names
 
@@ -169,6 +170,53 @@ def test_text_encoder_equals_the_library():
     assert encode.ranked is not None
 
 
+def test_only_true_rank_tables_are_taken():
+    ranks = {b"a": 0, b"b": 1, b"c": 2, b"ab": 3, b"bc": 4, b"abc": 5}
+    merges = [(b"a", b"b"), (b"b", b"c"), (b"ab", b"c")]
+    assert are_ranks(merges, ranks)
+    assert not are_ranks([*merges[:2], (b"a", b"bc")], ranks)  # "abc" is "ab", "c" by ranks
+    assert not are_ranks([merges[1], merges[0], merges[2]], ranks)
+    assert not are_ranks(merges[:2], ranks)  # a token that no merge makes
+    assert are_ranks([], {b"a": 0})
+
+
+def test_registered_packing_and_bpe_match_the_libraries(spark):
+    import hashlib
+
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+    from tokenizers import Tokenizer
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = {d: [*own.encode(t, add_special_tokens=False).ids, 2] for d, t in texts.items()}
+    at, sequences_, tokens = {}, {}, 0
+    for r in QUERIES["op1_best_fit_packing"](spark, folder).collect():
+        ids = want[r.doc_id][r.start : r.start + r.length]
+        assert zlib.crc32(np.array(ids, "<u4").tobytes()) == r.ids_crc32 and len(ids) == r.length
+        at.setdefault(r.doc_id, []).append((r.piece, r.start, r.length))
+        sequences_.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        tokens += r.length
+    assert set(at) == set(want)
+    for d, pieces in at.items():
+        pieces.sort()
+        assert [p for p, _, _ in pieces] == list(range(len(pieces))) and all(n == 1024 for _, _, n in pieces[1:])
+        assert [s for _, s, _ in pieces] == np.cumsum([0, *(n for _, _, n in pieces[:-1])]).tolist() and sum(n for _, _, n in pieces) == len(want[d])
+    for spans in sequences_.values():
+        spans.sort()
+        assert [o for o, _ in spans] == np.cumsum([0, *(n for _, n in spans[:-1])]).tolist() and sum(n for _, n in spans) <= 1024
+    assert len(sequences_) <= 1.02 * -(-tokens // 1024) + 1
+    ranks = load_tiktoken_bpe(P.path("byte_bpe_multi_50k.tiktoken"))
+    plain = tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = QUERIES["op8_byte_bpe"](spark, folder).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids, text = plain.encode_ordinary(texts[r.doc_id]), texts[r.doc_id]
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_packed_pieces_round_trip(spark):
     rows = [(i, "word " * (i % 37), "s", 1) for i in range(60)] + [(100, None, None, None), (101, "long text, " * 400, "s", 1)] + [(5, "word " * 5, "s", 1)]
     docs = spark.createDataFrame(rows, SCHEMA)
