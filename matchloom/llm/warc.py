@@ -24,6 +24,8 @@ from .storage import durable
 
 #: Payload bytes in an archive, about, and least bytes of a payload that may be revisited.
 ARCHIVE_BYTES, REVISIT_BYTES = 16 << 20, 1000
+#: Most tasks that write; beyond, each rolls over to a new archive after twice the mean archive's number of records.
+WRITERS = 8192
 #: Most places (8 bytes each) and groups of equal payloads (60 bytes each) that are broadcast.
 FEW, FEW_GROUPS = 1_000_000, 200_000
 END = "\r\n\r\n"
@@ -75,8 +77,8 @@ def write_warc(
     record = F.concat(head.cast("binary"), http.cast("binary"), body).cast("string")
     total = pages.agg(F.sum(F.octet_length(payload)).alias("b"), F.count("*").alias("n")).first()
     files = 1 + ((total["b"] or 0) + 500 * total["n"]) // ARCHIVE_BYTES
-    out = rows.repartition(int(files), F.xxhash64("id", "digest", "url")).select(record.alias("value"))
-    out.write.option("lineSep", END).option("compression", "gzip").text(path)
+    out = rows.repartition(int(min(files, WRITERS)), F.xxhash64("id", "digest", "url")).select(record.alias("value"))
+    out.write.options(lineSep=END, compression="gzip", maxRecordsPerFile=100 + 2 * total["n"] // files).text(path)
 
 
 _NAMES = ["path", "offset", "next", "record_type", "record_id", "refers_to", "digest", "size", "payload"]

@@ -109,6 +109,51 @@ def test_shards(spark):
     assert sharding.shard(docs.limit(0), tree).count() == 0
 
 
+def test_registered_shards_match_brute_force(spark):
+    import math
+
+    import xxhash
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+
+    def draw(path, weight, key):
+        seed = xxhash.xxh64_intdigest(path.encode(), seed=42)
+        h = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), seed=seed)
+        return -math.log(((h >> 11) + 0.5) * 2.0**-53) / weight
+
+    def place(doc, tree):
+        key = xxhash.xxh64_intdigest(doc.to_bytes(8, "little", signed=True), seed=42)
+        left, path = list(tree), ""
+        for level in ("region", "rack", "shard"):
+            names = sorted({str(getattr(x, level)) for x in left})
+            if len(names) > 1:
+                weigh = lambda n, members=left, by=level: sum(x.weight for x in members if str(getattr(x, by)) == n)
+                names = [min(names, key=lambda n, p=path: draw(f"{p}/{n}", weigh(n), key))]
+            left, path = [x for x in left if str(getattr(x, level)) == names[0]], f"{path}/{names[0]}"
+        return left[0].shard
+
+    tree, slots = sharding.balanced(16), {}
+    got = QUERIES["op5_sharding"](spark, folder).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        text = texts[r.doc_id]
+        assert (r.size, r.text_crc32, r.law) == (len(text) + 1, zlib.crc32(text), "key")
+        assert (r.shard, r.grown_shard) == (place(r.doc_id, tree), place(r.doc_id, sharding.grown(tree)))
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_tasks_roll_over_to_new_archives(spark, monkeypatch):
+    monkeypatch.setattr(warc, "WRITERS", 2)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 4000)
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("html"))
+    path = new_path(spark, "test-roll")
+    warc.write_warc(pages, path)
+    got = warc.read_warc(spark, path).select("record_id", "path").collect()
+    assert len({r.record_id for r in got}) == len(got) == 3000 and len({r.path for r in got}) > 20
+
+
 def test_chain_rejects_what_it_does_not_reach():
     offset, successor = np.array([0, 10, 25, 30, 50, 70]), np.array([10, 30, 50, 70, 60, 99])
     assert warc.reached(offset, successor).tolist() == [True, True, False, True, False, True]
