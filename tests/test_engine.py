@@ -300,3 +300,15 @@ def test_slices_and_sql_functions(spark):
     t = de.fit_temperature(scores)
     after = [r.score for r in de.calibrate(scores, t).orderBy("o", "s1").collect()]
     assert t > 0 and all(0 < p < 1 for p in after) and de.calibrate(scores, 1.0).where("abs(score - 0.9) < 1e-9").count() == 1
+
+
+def test_models_without_rows(spark):
+    rows = spark.createDataFrame([("a", "x", 1, 1.0), ("a", "y", 0, 0.0)], "s1 string, o string, label int, m double")
+    for train in (tr.train_boosted, tr.train_stacker):
+        model = train(rows.limit(0), ["m"])
+        assert [r.score for r in tr.predict_proba(model, rows).collect()] == [0.5, 0.5]
+        assert tr.predict_proba(model, rows.limit(0)).count() == 0
+    # All pairs are in one fold, so the model of that fold has none to learn from.
+    out = tr.out_of_fold(tr.group_folds(rows, 3), ["m"], 3, trees=2, depth=2).collect()
+    assert sorted((r.s1, r.o, r.score) for r in out) == [("a", "x", 0.5), ("a", "y", 0.5)]
+    assert tr.out_of_fold(tr.group_folds(rows.limit(0), 3), ["m"], 3, trees=2, depth=2).count() == 0
