@@ -312,3 +312,43 @@ def test_models_without_rows(spark):
     out = tr.out_of_fold(tr.group_folds(rows, 3), ["m"], 3, trees=2, depth=2).collect()
     assert sorted((r.s1, r.o, r.score) for r in out) == [("a", "x", 0.5), ("a", "y", 0.5)]
     assert tr.out_of_fold(tr.group_folds(rows.limit(0), 3), ["m"], 3, trees=2, depth=2).count() == 0
+
+
+def _brute_vectors(rows, queries, k):
+    def product(x, y):
+        if x is None or y is None or len(x) != len(y) or None in x or None in y:
+            return None
+        total = 0.0
+        for a, b in zip(x, y, strict=True):
+            total += a * b
+        return total if math.isnan(total) else round(total, 6) + 0.0
+
+    out = set()
+    for i in queries:
+        mine = [(j, product(rows[i], y)) for j, y in rows.items() if j != i]
+        mine.sort(key=lambda p: (p[1] is None, 0 if p[1] is None else -math.inf if math.isnan(p[1]) else -p[1], p[0]))
+        out |= {(i, j, str(s)) for j, s in mine[:k]}
+    return out
+
+
+def test_block_vector_in_blocks_of_odd_rows(spark, capsys):
+    draw = random.Random(3)
+    rows = {i: [draw.choice([-1.0, 0.5, 0.25, draw.random()]) for _ in range(8)] for i in range(150)}
+    rows |= {i: rows[3] for i in range(150, 220)}  # copies of one vector
+    rows |= {300: None, 305: [1.0, None, *[0.0] * 6], 310: [1.0] * 3, 315: [0.5] * 3, 320: [math.nan] * 8, 325: [], 330: [0.0] * 8}
+    v = spark.createDataFrame([*rows.items()], "vec_id long, embedding array<double>")
+    for k, block in ((5, 40), (5, 10_000), (230, 60)):
+        found = bl.block_vector(v.where("vec_id % 5 = 0"), v, k, block)
+        assert {(r.s1, r.o, str(r.sim)) for r in found.collect()} == _brute_vectors(rows, [i for i in rows if i % 5 == 0], k)
+    found.explain()
+    assert "Join" not in capsys.readouterr().out  # pairs are not rows
+
+
+def test_vector_cells_in_blocks(spark, capsys):
+    draw = random.Random(4)
+    rows = {i: [draw.random() for _ in range(8)] for i in range(200)} | {i: [0.5] * 8 for i in range(200, 300)}
+    v = spark.createDataFrame([*rows.items(), (900, None)], "vec_id long, embedding array<double>")
+    found = bl.block_vector_cells(v.where("vec_id % 5 = 0"), v, bl.vector_cells(v, 4), 7, 4, block=20)
+    assert {(r.s1, r.o, str(r.sim)) for r in found.collect()} == _brute_vectors(rows, range(0, 300, 5), 7)
+    found.explain()
+    assert "FlatMapCoGroupsInArrow" in capsys.readouterr().out
