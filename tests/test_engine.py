@@ -352,3 +352,23 @@ def test_vector_cells_in_blocks(spark, capsys):
     assert {(r.s1, r.o, str(r.sim)) for r in found.collect()} == _brute_vectors(rows, range(0, 300, 5), 7)
     found.explain()
     assert "FlatMapCoGroupsInArrow" in capsys.readouterr().out
+
+
+def test_tfidf_in_blocks(spark, capsys):
+    draw = random.Random(6)
+    words = ["alpha", "beta", "gamma", "delta", "kilo", "lima", "x", "alphabet", "deltas", "be", "gam", "limabeta"]
+    text = lambda: " ".join(draw.choice(words) for _ in range(draw.randint(0, 4)))
+    texts = [text() for _ in range(40)] + ["alpha beta"] * 25
+    rows = [(f"S{1 + i % 3}-{i}", i, draw.choice(texts), "", "x") for i in range(400)] + [("S1-900", 900, "", "", "x"), ("S2-901", 901, None, "", "x")]
+    e = spark.createDataFrame(rows, ENTITY)
+    s1, other = e.where("entity_id like 'S1%'"), e.where("entity_id not like 'S1%'")
+    side = lambda d: bl.gram_counts(d.select(F.col("entity_id").alias("id"), F.coalesce("business_name", F.lit("")).alias("text")))
+    for k, floor, block in ((5, 0.12, 7), (150, 0.12, 10_000), (4, 0.99, 9), (60, 0.5, 9)):
+        vocab = bl.vocabulary(side(other), other.count(), 3, 0.9)
+        want = bl.cosine_top_k(bl.weights(side(s1), vocab), bl.weights(side(other), vocab), k, floor)
+        want = {tuple(r) for r in want.collect()}
+        found = bl.block_tfidf(s1, other, F.coalesce("business_name", F.lit("")), k, floor, max_df=0.9, ask_block=block, there_block=block)
+        assert {tuple(r) for r in found.collect()} == want and want
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "FlatMapCoGroupsInArrow" in plan and "gram" not in plan.partition("FlatMapCoGroupsInArrow")[0]  # no join on grams
